@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from veritide.llm.fingerprints import op9_merkle_fingerprints
+from veritide.llm.languages import op10_language_id
+from veritide.llm.near_dup import op8_setsketch_near_dup
 from veritide.llm.packing import op5_harmonic_packing
+from veritide.llm.quality import op4_quality_classifier
 from veritide.llm.secrets import op7_secret_scans
 from veritide.llm.token_counts import op2_token_counts
 from veritide.llm.warc import op1_warc
@@ -10,8 +14,12 @@ from veritide.llm.warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op7_secret_scans": op7_secret_scans,
+    "op8_setsketch_near_dup": op8_setsketch_near_dup,
+    "op9_merkle_fingerprints": op9_merkle_fingerprints,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
