@@ -90,7 +90,7 @@ def write_warc(
     )
     # The sink takes strings and writes their bytes as they are.
     body = F.when(revisit, F.lit("")).otherwise(F.col("_payload").cast("string"))
-    rows.select(F.concat(head, body).alias("value")).write.option("lineSep", END).text(path)
+    rows.select(F.concat(head, body).alias("value")).write.text(path, compression="gzip", lineSep=END)
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
