@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Machine:
     """
     picked = labels.where(F.col("quality").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
     picked = bounded_sample(picked.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")), "_id", bound)
-    rows = _columns(docs).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # at most ``bound`` pairs of numbers
+    rows = docs.select(F.col("doc_id").alias("_doc"), _text(docs), _said(docs)).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # at most ``bound`` pairs of numbers
 
     def run(batches):
         for b in batches:
@@ -148,30 +148,43 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Machine:
     )
 
 
-def _columns(docs: DataFrame) -> DataFrame:
+def _text(docs: DataFrame):
+    return F.col("text").cast("string").alias("_text")
+
+
+def _said(docs: DataFrame):
     n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_text"), n.alias("_n"))
+    return n.alias("_n")
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row.
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row, or the columns ``keep`` and score and predicted.
 
     Null text counts as empty and is scored too; a null or negative n_chars counts as the text's length.
     Repeated rows get equal scores; a null doc_id stays null; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     held = machine
+    keep = keep or ["doc_id"]
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], _text(docs), _said(docs))
+    kinds = [f.dataType.simpleString() for f in kept.schema.fields[: len(keep)]]
 
     def run(batches):
         rows = Rows(held)
         for b in batches:
-            z = [rows.logit(t, n) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            *_, texts, said = b.columns
+            z = [rows.logit(t, n) for t, n in zip(texts.to_pylist(), said.to_pylist(), strict=True)]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -40, 40)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = _columns(docs).mapInArrow(run, f"doc_id {kind}, score double")
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+            own = b.columns[: len(keep)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(p, pa.float64())], [f"_k{i}" for i in range(len(keep))] + ["_score"])
+
+    schema = ", ".join(f"_k{i} {k}" for i, k in enumerate(kinds)) + ", _score double"
+    out = kept.mapInArrow(run, schema).select(
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
+        F.col("_score").alias("score"),
+        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+    )
+    return out if keep != ["doc_id"] else out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veritide.llm.decontaminate import op3_decontamination
 from veritide.llm.fingerprints import op9_merkle_fingerprints
 from veritide.llm.languages import op10_language_id
 from veritide.llm.near_dup import op8_setsketch_near_dup
@@ -9,13 +10,16 @@ from veritide.llm.packing import op5_harmonic_packing
 from veritide.llm.quality import op4_quality_classifier
 from veritide.llm.secrets import op7_secret_scans
 from veritide.llm.token_counts import op2_token_counts
+from veritide.llm.url_filter import op6_url_filter
 from veritide.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_secret_scans": op7_secret_scans,
     "op8_setsketch_near_dup": op8_setsketch_near_dup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
