@@ -12,10 +12,15 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+
 _RUN = re.compile(r"\s\s")
+_STOPS = (".", ",")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -42,10 +47,33 @@ def chunkable(path: str) -> bool:
     )
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def word_model(path: str):
+    """The tokenizer's BPE model by itself, without its cache (words come from the memo); None if it has options."""
+    from tokenizers import models
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)["model"]
+    plain = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if spec.get("type", "BPE") != "BPE" or any(spec.get(k) for k in plain):
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+    return models.BPE(spec["vocab"], merges, cache_capacity=0)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids (``ids``) or counts them (``counts``)."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 600_000):
         self.path, self.memo = path, memo
         self.by_chunk = chunkable(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,6 +89,7 @@ class Encoder:
             model.no_padding()
             model.no_truncation()
             self._raw = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model = word_model(path) if self.by_chunk else None
         self._inner: dict = {}
         self._whole: dict = {}
 
@@ -71,15 +100,33 @@ class Encoder:
         parts = text.replace("\n", " \n").split(" ")
         return parts[:1], parts[1:]
 
+    def _encode(self, memo: dict, new: list[str], prefix: str, value) -> None:
+        if self.model:  # a word of letters is one pre-token: the library's model takes it as it is
+            words = [c for c in new if c.isalpha() and max(c) < "\u0250"]
+            if words:
+                run = self.model.tokenize
+                head = _BYTE_CHARS[32] if prefix else ""
+                memo.update((c, value([t.id for t in run(head + c.encode().decode("latin-1").translate(_BYTE_CHARS))])) for c in words)
+                new = set(new).difference(words)
+        new = list(new)
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            got = self._raw([c if c[:1] == "\n" else prefix + c for c in some])
+            memo.update(zip(some, map(value, got), strict=True))
+
     def _known(self, cut: list[tuple[list[str], list[str]]], value) -> None:
         for memo, k, prefix in ((self._whole, 0, ""), (self._inner, 1, " ")):
             if len(memo) > self.memo:
                 memo.clear()
-            new = list({c for parts in cut for c in parts[k] if c not in memo})
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                got = self._raw([c if c[:1] == "\n" else prefix + c for c in some])
-                memo.update((c, value(ids)) for c, ids in zip(some, got, strict=True))
+            new = set().union(*(parts[k] for parts in cut)).difference(memo)
+            # A stop or comma behind a letter is a pre-token of its own: the word before it is looked up alone.
+            ends = [c for c in new if c[-1:] in _STOPS and c[-2:-1].isalpha() and c[-2] < "\u0250"]
+            new.difference_update(ends)
+            new.update(b for c in ends if (b := c[:-1]) not in memo)
+            self._encode(memo, list(new), prefix, value)
+            if ends:
+                stop = dict(zip(_STOPS, map(value, self._raw(list(_STOPS))), strict=True))
+                memo.update((c, memo[c[:-1]] + stop[c[-1]]) for c in ends)
 
     def _each(self, texts: list[str], value, empty, join):
         for at in range(0, len(texts), 128):
@@ -98,7 +145,7 @@ class Encoder:
 
     def ids(self, texts: list[str]):
         def packed(ids):
-            return np.asarray(ids, "<u4").tobytes()
+            return array("I", ids).tobytes() if _NATIVE else np.asarray(ids, "<u4").tobytes()
 
         return self._each(texts, packed, b"", lambda a, b: b"".join(a) + b"".join(b))
 
