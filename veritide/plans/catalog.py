@@ -1,4 +1,4 @@
-"""Names of all queries, with the SQL twins that an independent engine can run."""
+"""All queries by name, with the SQL twins that an independent engine can run."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from veritide.plans import retrieval  # noqa: F401
+from veritide.plans.base import ORACLES, QUERIES  # noqa: F401
