@@ -1,4 +1,4 @@
 """All queries by name, with the SQL twins that an independent engine can run."""
 
-from veritide.plans import retrieval  # noqa: F401
+from veritide.plans import ragmetrics, retrieval, rollups  # noqa: F401
 from veritide.plans.base import ORACLES, QUERIES  # noqa: F401
