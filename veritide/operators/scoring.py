@@ -81,8 +81,38 @@ def enhanced_confidence(base, tier, corroboration, independence, fresh, authorit
     extra = tier + F.greatest(F.lit(0.0), corroboration * 0.15 + independence) + fresh + authority + contradiction
     out = base + extra + F.when(sources >= 3, 0.05).otherwise(0.0)
     out = out - F.when(~cited & (base > 0.3), 0.3).otherwise(0.0) - F.when(n_chunks < 3, 0.2).otherwise(0.0)
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 2)
+    return F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 9), 2)  # the sum's last digits don't decide a tie
 
 
 def tier_quality(avg_tier: Column, most: float = 0.15) -> Column:
     return F.coalesce(F.bround(F.greatest(F.lit(0.0), most - (avg_tier - 1) * most / 2), 3), F.lit(0.0))
+
+
+#: Texts of metrics by their lower thresholds, best first.
+VERBAL = {
+    "ragas_faithfulness": ((0.6, "Answer well grounded in evidence"), (0.2, "Answer poorly grounded in evidence"), (None, "Answer barely grounded in evidence")),
+    "ragas_answer_relevancy": ((0.5, "Answer addresses the question"), (0.2, "Answer partly addresses the question"), (None, "Answer does not address the question")),
+    "ragas_context_precision": ((0.4, "Retrieved sources are on-topic"), (0.1, "Retrieved sources partly on-topic"), (None, "Retrieved sources mostly off-topic")),
+    "ragas_context_recall": ((0.5, "Evidence covers the expected content"), (0.2, "Evidence partly covers expected content"), (None, "Evidence misses expected content")),
+    "recall_at_3": ((0.5, "Key info in top results"), (0.1, "Key info not in top results"), (None, "Key info missing from top results")),
+    "f1": ((0.4, "Answer matches reference well"), (0.15, "Answer partly matches reference"), (None, "Answer does not match reference")),
+    "mmr_diversity_score": ((0.9, "Sources are extremely diverse"), (0.6, "Sources are diverse"), (0.3, "Sources have moderate diversity"), (None, "Sources are repetitive")),
+    "factual_correctness": ((0.5, "Claims align with ideal answer"), (0.2, "Claims partly align"), (None, "Claims do not align with ideal")),
+    "semantic_similarity": ((0.6, "Meaning matches ideal answer"), (0.4, "Meaning partly matches"), (None, "Meaning diverges from ideal")),
+}
+#: Texts of metrics where low is good, by their upper thresholds.
+VERBAL_LOW = {
+    "hallucination_score": ((0.3, "Low risk of unsupported content"), (0.6, "Some unsupported content"), (None, "High risk of unsupported content (flagged)")),
+    "noise_sensitivity": ((0.2, "Not misled by low-quality sources"), (0.5, "Slightly affected by noise"), (None, "Noticeably misled by poor sources")),
+}
+
+
+def verbal(metric: str, value: Column) -> Column:
+    """One line for a metric's value; null is ``Not available``."""
+    if metric == "llm_judge_overall":
+        return F.when(value.isNull(), "Not available").otherwise(F.concat(F.lit("AI reviewer rated "), value.cast("int").cast("string"), F.lit("/5")))
+    high = metric in VERBAL
+    out = F.when(value.isNull(), "Not available")
+    for at, text in (VERBAL if high else VERBAL_LOW)[metric]:
+        out = out.otherwise(text) if at is None else out.when(value >= at if high else value <= at, text)
+    return out

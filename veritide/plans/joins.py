@@ -159,7 +159,7 @@ def _(t):
     from veritide.operators.fuzzy import best_matches
 
     names = t("part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name")).distinct()
-    return best_matches(names, t("part").select(F.lower("p_type").alias("truth")).distinct())
+    return best_matches(names, t("part").select(F.col("p_type").alias("truth")).distinct())
 
 
 # projections and filters

@@ -55,7 +55,7 @@ def _(t):
         tg AS (SELECT qid, turn, w, count(*) AS n FROM (SELECT qid, turn, unnest(g) AS w FROM x) GROUP BY ALL),
         s AS (SELECT ta.qid, ta.turn, sum(least(ta.n, tg.n)) AS s FROM ta JOIN tg ON ta.qid = tg.qid AND ta.turn = tg.turn AND ta.w = tg.w GROUP BY ALL),
         v AS (SELECT x.qid, x.turn, len(a) AS na, len(g) AS ng, coalesce(s, 0) AS shared FROM x LEFT JOIN s ON x.qid = s.qid AND x.turn = s.turn)
-        SELECT qid, turn, shared, round_even(shared::DOUBLE / greatest(na, 1), 3) AS p, round_even(shared::DOUBLE / greatest(ng, 1), 3) AS r,
+        SELECT qid, turn, CAST(shared AS BIGINT) AS shared, round_even(shared::DOUBLE / greatest(na, 1), 3) AS p, round_even(shared::DOUBLE / greatest(ng, 1), 3) AS r,
                round_even(CASE WHEN shared = 0 THEN 0 ELSE 2.0::DOUBLE * shared / (na + ng) END, 3) AS f1 FROM v""",
 )
 def _(t):

@@ -50,7 +50,7 @@ def golden(t):
     return a.join(b, "label").where("q <> id").select("q", "id", (1.0 + F.col("id") % 3).alias("relevance"))
 
 
-GOLD = "gold AS (SELECT a.vec_id AS q, b.vec_id AS id, 1.0 + b.vec_id % 3 AS relevance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20)"
+GOLD = "gold AS (SELECT a.vec_id AS q, b.vec_id AS id, CAST(1 + b.vec_id % 3 AS DOUBLE) AS relevance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20)"
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT q, id, score, rank FROM ({TOP}) WHERE rank <= 10")

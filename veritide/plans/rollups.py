@@ -89,7 +89,7 @@ query(
 )(lambda t: t("kr").groupBy("kpi_id").agg(F.count("*").alias("n"), F.bround(F.avg("score"), 4).alias("mean"), F.bround(F.coalesce(F.stddev_pop("score"), F.lit(0.0)), 4).alias("sd")))
 query(
     "source_coverage",
-    "SELECT source, count(*) AS n, sum(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) AS filled, sum(CASE WHEN text ILIKE 'the and%' THEN 1 ELSE 0 END) AS errors FROM documents GROUP BY source",
+    "SELECT source, count(*) AS n, CAST(sum(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, CAST(sum(CASE WHEN text ILIKE 'the and%' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM documents GROUP BY source",
 )(
     lambda t: t("documents").groupBy("source").agg(
         F.count("*").alias("n"), F.sum(F.when(F.trim("text") != "", 1).otherwise(0)).alias("filled"), F.sum(F.when(F.col("text").ilike("the and%"), 1).otherwise(0)).alias("errors")
@@ -166,7 +166,7 @@ def _(t):
 
 
 query("feature_coverage", "SELECT count(live_score) AS live_score, count(score) AS score, count(*) AS n FROM kr")(lambda t: t("kr").agg(F.count("live_score").alias("live_score"), F.count("score").alias("score"), F.count("*").alias("n")))
-query("source_eval_rollup", "SELECT pillar, round(avg(value), 5) AS mean, count(DISTINCT source_id) AS sources, sum(CASE WHEN tier = 3 THEN 1 ELSE 0 END) AS weak FROM cites GROUP BY pillar")(
+query("source_eval_rollup", "SELECT pillar, round(avg(value), 5) AS mean, count(DISTINCT source_id) AS sources, CAST(sum(CASE WHEN tier = 3 THEN 1 ELSE 0 END) AS BIGINT) AS weak FROM cites GROUP BY pillar")(
     lambda t: t("cites").groupBy("pillar").agg(F.round(F.avg("value"), 5).alias("mean"), F.countDistinct("source_id").alias("sources"), F.sum(F.when(F.col("tier") == 3, 1).otherwise(0)).alias("weak"))
 )
 query("cited_sources", "SELECT source_id, count(DISTINCT kpi_id) AS n, list_sort(list(DISTINCT kpi_id)) AS kpis FROM cites GROUP BY source_id")(
