@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
+
 
 def attribute(states: DataFrame, keys, order: str, score: str, causes, least: float = 0.2) -> DataFrame:
     """(keys, order, delta, cause): the first changed cause of ``causes`` (column, name), else external_noise.
@@ -13,7 +15,7 @@ def attribute(states: DataFrame, keys, order: str, score: str, causes, least: fl
     present value is null is skipped.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    delta = F.bround(F.col(score) - F.lag(score).over(w), 4)
+    delta = even(F.col(score) - F.lag(score).over(w), 4)
     prev = {c: F.lag(c).over(w) for c, _ in causes}
     rows = states.withColumn("delta", delta).withColumns({f"_p_{c}": p for c, p in prev.items()})
     cause = F.lit("external_noise")

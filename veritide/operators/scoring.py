@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
+
 #: Recommended k by kind and complexity.
 K_TABLE = (
     ("rubric", "low", 6), ("rubric", "medium", 8), ("rubric", "high", 10),
@@ -81,11 +83,11 @@ def enhanced_confidence(base, tier, corroboration, independence, fresh, authorit
     extra = tier + F.greatest(F.lit(0.0), corroboration * 0.15 + independence) + fresh + authority + contradiction
     out = base + extra + F.when(sources >= 3, 0.05).otherwise(0.0)
     out = out - F.when(~cited & (base > 0.3), 0.3).otherwise(0.0) - F.when(n_chunks < 3, 0.2).otherwise(0.0)
-    return F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 9), 2)  # the sum's last digits don't decide a tie
+    return even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 2)  # the sum's last digits don't decide a tie
 
 
 def tier_quality(avg_tier: Column, most: float = 0.15) -> Column:
-    return F.coalesce(F.bround(F.greatest(F.lit(0.0), most - (avg_tier - 1) * most / 2), 3), F.lit(0.0))
+    return F.coalesce(even(F.greatest(F.lit(0.0), most - (avg_tier - 1) * most / 2), 3), F.lit(0.0))
 
 
 #: Texts of metrics by their lower thresholds, best first.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
 from veritide.functions import text as T
 
 #: Signals of substantive content by category.
@@ -98,7 +99,7 @@ def tier_classify(url: Column, text: Column, title: Column | None = None, signal
     any_of = lambda hints: F.lower(url).rlike("|".join(hints))
     bonus = F.when(any_of(URL_TIER1), 0.12).when(any_of(URL_TIER2), 0.06).otherwise(0.0)
     score = F.least(F.lit(0.5), hits * 0.06) + F.least(F.lit(1.0), words / 800) * 0.25 + shape * 0.15 + bonus
-    score = F.bround(F.least(F.lit(1.0), score), 3)
+    score = even(F.least(F.lit(1.0), score), 3)
     thin = (boiler >= 2) & (F.char_length(text) < 500)
     score = F.when(thin, 0.05).otherwise(score)
     tier = F.when(thin, 3).when(score >= 0.55, 1).when(score >= 0.25, 2).otherwise(3)
@@ -141,7 +142,7 @@ def claim_pairs(claims: DataFrame, least: float = 0.35) -> DataFrame:
 def corroboration(n_sources: Column, n_pairs: Column, n_in_pairs: Column) -> Column:
     """Score of a group from its sources, similar pairs and sources in pairs."""
     some = F.least(F.lit(0.5), 0.08 * n_pairs) + F.least(F.lit(0.5), 0.12 * n_in_pairs)
-    return F.when(n_sources < 2, 0.0).when(n_pairs == 0, F.bround(F.least(F.lit(0.3), 0.1 * n_sources), 2)).otherwise(F.bround(some, 2))
+    return F.when(n_sources < 2, 0.0).when(n_pairs == 0, even(F.least(F.lit(0.3), 0.1 * n_sources), 2)).otherwise(even(some, 2))
 
 
 def _month(name: Column) -> Column:
@@ -169,11 +170,11 @@ def extract_dates(text: Column, month_day: int = 15, with_day: bool = True) -> C
 def freshness(newest: Column, as_of: Column) -> Column:
     """1 for today down to 0.1 for two years and more; 0.3 without a date.  Days are floors of seconds."""
     age = F.greatest(F.lit(0), F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(newest)) / 86400))
-    return F.when(newest.isNull(), 0.3).otherwise(F.greatest(F.lit(0.1), F.bround(1 - F.pow(F.least(F.lit(1.0), age / 730.0), F.lit(0.7)), 3)))
+    return F.when(newest.isNull(), 0.3).otherwise(F.greatest(F.lit(0.1), even(1 - F.pow(F.least(F.lit(1.0), age / 730.0), F.lit(0.7)), 3)))
 
 
 def freshness_boost(avg: Column) -> Column:
-    return F.bround(F.when(avg >= 0.7, 0.10 * (avg - 0.7) / 0.3).when(avg < 0.4, -0.15 * (0.4 - avg) / 0.4).otherwise(0.0), 3)
+    return even(F.when(avg >= 0.7, 0.10 * (avg - 0.7) / 0.3).when(avg < 0.4, -0.15 * (0.4 - avg) / 0.4).otherwise(0.0), 3)
 
 
 def authority(url: Column, text: Column, own: str = "") -> Column:

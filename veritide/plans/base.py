@@ -87,9 +87,28 @@ VIEWS = {
 }
 
 
+def even_sql(sql: str) -> str:
+    """``round_even(x, d)`` on the decimal value of x to nine digits, like ``functions.numbers.even``."""
+    out, name = "", "round_even("
+    while (at := sql.find(name)) >= 0:
+        depth, comma, end = 1, 0, at + len(name)
+        while depth:
+            c = sql[end]
+            depth += (c in "([") - (c in ")]")
+            if c == "," and depth == 1:
+                comma = end
+            end += 1
+        inner, digits = even_sql(sql[at + len(name) : comma]), sql[comma + 1 : end - 1].strip()
+        out += f"{sql[:at]}CAST(round_even(CAST({inner} AS DECIMAL(18,9)), {digits}) AS DOUBLE)"
+        sql = sql[end:]
+    return out + sql
+
+
 def with_views(sql: str) -> str:
     import re
 
+    sql = even_sql(sql)
+
     used: list[str] = []
 
     def need(text: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
 from veritide.plans.base import query
 
 KEY = ("company", "kpi_id")
@@ -37,7 +38,7 @@ def _(t):
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(changed, "changed").otherwise("same")
     zero = F.lit(0.0)
     return diff(t).join(u, list(KEY), "left").select(
-        *KEY, status.alias("status"), F.bround(F.coalesce("new", zero) - F.coalesce("old", zero), 4).alias("score_delta"),
+        *KEY, status.alias("status"), even(F.coalesce("new", zero) - F.coalesce("old", zero), 4).alias("score_delta"),
         F.sort_array(F.array_except("b", "a")).alias("added"), F.sort_array(F.array_except("a", "b")).alias("removed"),
     )
 
@@ -47,7 +48,7 @@ def _(t):
     f"WITH {DIFF} SELECT company, kpi_id, old, new, round_even(new - old, 4) AS delta FROM d",
 )
 def _(t):
-    return diff(t).select(*KEY, "old", "new", F.bround(F.col("new") - F.col("old"), 4).alias("delta"))
+    return diff(t).select(*KEY, "old", "new", even(F.col("new") - F.col("old"), 4).alias("delta"))
 
 
 @query(
@@ -63,13 +64,13 @@ def _(t):
 
 
 query("report_compare", f"WITH {DIFF} SELECT company, kpi_id, round_even(new - old, 4) AS score_delta, round_even(new_conf - old_conf, 4) AS conf_delta FROM d WHERE old IS NOT NULL AND new IS NOT NULL")(
-    lambda t: run(t, 1, old="score", old_conf="confidence").join(run(t, 2, new="score", new_conf="confidence"), list(KEY)).select(*KEY, F.bround(F.col("new") - F.col("old"), 4).alias("score_delta"), F.bround(F.col("new_conf") - F.col("old_conf"), 4).alias("conf_delta"))
+    lambda t: run(t, 1, old="score", old_conf="confidence").join(run(t, 2, new="score", new_conf="confidence"), list(KEY)).select(*KEY, even(F.col("new") - F.col("old"), 4).alias("score_delta"), even(F.col("new_conf") - F.col("old_conf"), 4).alias("conf_delta"))
 )
 query("top_changes", f"WITH {DIFF} SELECT company, kpi_id, round_even(new - old, 4) AS delta FROM d WHERE new <> old ORDER BY abs(round_even(new - old, 4)) DESC, company, kpi_id LIMIT 15")(
-    lambda t: diff(t).where("new <> old").select(*KEY, F.bround(F.col("new") - F.col("old"), 4).alias("delta")).orderBy(F.desc(F.abs("delta")), *KEY).limit(15)
+    lambda t: diff(t).where("new <> old").select(*KEY, even(F.col("new") - F.col("old"), 4).alias("delta")).orderBy(F.desc(F.abs("delta")), *KEY).limit(15)
 )
 query("confidence_gains", f"WITH {DIFF} SELECT company, kpi_id, round_even(new_conf - old_conf, 4) AS gain FROM d WHERE new_conf > old_conf ORDER BY gain DESC, company, kpi_id LIMIT 10")(
-    lambda t: diff(t).where("new_conf > old_conf").select(*KEY, F.bround(F.col("new_conf") - F.col("old_conf"), 4).alias("gain")).orderBy(F.desc("gain"), *KEY).limit(10)
+    lambda t: diff(t).where("new_conf > old_conf").select(*KEY, even(F.col("new_conf") - F.col("old_conf"), 4).alias("gain")).orderBy(F.desc("gain"), *KEY).limit(10)
 )
 
 
@@ -150,7 +151,7 @@ def _(t):
 
 query("url_overlap_jaccard", "WITH u AS (SELECT company, kpi_id, list(DISTINCT url) FILTER (WHERE run_no = 1) AS a, list(DISTINCT url) FILTER (WHERE run_no = 2) AS b FROM cites GROUP BY 1, 2) SELECT company, kpi_id, round_even(len(list_intersect(coalesce(a, []), coalesce(b, [])))::DOUBLE / greatest(1, len(list_distinct(list_concat(coalesce(a, []), coalesce(b, []))))), 3) AS jaccard FROM u")(
     lambda t: t("cites").groupBy(*KEY).agg(*(F.collect_set(F.when(F.col("run_no") == n, F.col("url"))).alias(c) for n, c in ((1, "a"), (2, "b"))))
-    .select(*KEY, F.bround(F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b"))), 3).alias("jaccard"))
+    .select(*KEY, even(F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b"))), 3).alias("jaccard"))
 )
 
 

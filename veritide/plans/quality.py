@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
 from veritide.functions import text as T
 from veritide.operators import source_quality as Q
 from veritide.plans.base import query, quoted, sents, t2, t4
@@ -100,7 +101,7 @@ query("keyword_overlap", f"WITH {KW} SELECT grp, w, n FROM o")(shared_keywords)
 def _(t):
     k = shared_keywords(t).groupBy("grp").agg(F.count("*").alias("k"))
     s = t("documents").groupBy(F.floor(F.col("doc_id") / 25).alias("grp")).agg(F.count("*").alias("n")).join(k, "grp", "left")
-    score = F.bround(F.least(F.lit(0.5), 0.15 + 0.1 * F.col("n")) + F.least(F.lit(0.5), 0.1 * F.coalesce("k", F.lit(0))), 2)
+    score = even(F.least(F.lit(0.5), 0.15 + 0.1 * F.col("n")) + F.least(F.lit(0.5), 0.1 * F.coalesce("k", F.lit(0))), 2)
     return s.select("grp", F.when(F.col("n") < 3, 0.0).otherwise(F.least(F.lit(1.0), score)).alias("score"))
 
 
@@ -186,7 +187,7 @@ def contra(t):
 
 query("contradictions", f"WITH {CONTRA} SELECT * FROM c")(contra)
 query("contradiction_penalty", f"WITH {CONTRA} SELECT grp, count(*) AS n, round_even(-least(0.2::DOUBLE, 0.07::DOUBLE * count(*)), 3) AS penalty FROM c GROUP BY grp")(
-    lambda t: contra(t).groupBy("grp").agg(F.count("*").alias("n"), F.bround(-F.least(F.lit(0.2), 0.07 * F.count("*")), 3).alias("penalty"))
+    lambda t: contra(t).groupBy("grp").agg(F.count("*").alias("n"), even(-F.least(F.lit(0.2), 0.07 * F.count("*")), 3).alias("penalty"))
 )
 
 OVER = f"""w AS (SELECT doc_id // 25 AS grp, doc_id AS s, {t4('text')} AS w FROM documents), k AS (SELECT grp, s, len(w) AS n, unnest(w) AS t FROM w),
@@ -209,7 +210,7 @@ def _(t):
     d = overlaps(t).select("grp", F.explode(F.array("a", "b")).alias("s")).groupBy("grp").agg(F.countDistinct("s").alias("d"))
     n = t("documents").groupBy(F.floor(F.col("doc_id") / 25).alias("grp")).agg(F.count("*").alias("n")).join(d, "grp", "left")
     share = F.coalesce("d", F.lit(0)) / F.col("n")
-    return n.select("grp", F.bround(1 - share, 3).alias("independence"), F.bround(-F.least(F.lit(0.15), 0.15 * share), 3).alias("penalty"))
+    return n.select("grp", even(1 - share, 3).alias("independence"), even(-F.least(F.lit(0.15), 0.15 * share), 3).alias("penalty"))
 
 
 @query(
@@ -232,5 +233,5 @@ query(
     "evidence_quality",
     "SELECT company, run_no, kpi_id, round_even(confidence * 0.15::DOUBLE + 0.1::DOUBLE * (n % 2) + 0.03::DOUBLE - least(0.2::DOUBLE, 0.07::DOUBLE * (n % 3)), 3) AS adjustment FROM kr",
 )(
-    lambda t: t("kr").select("company", "run_no", "kpi_id", F.bround(F.col("confidence") * 0.15 + 0.1 * (F.col("n") % 2) + 0.03 - F.least(F.lit(0.2), 0.07 * (F.col("n") % 3)), 3).alias("adjustment"))
+    lambda t: t("kr").select("company", "run_no", "kpi_id", even(F.col("confidence") * 0.15 + 0.1 * (F.col("n") % 2) + 0.03 - F.least(F.lit(0.2), 0.07 * (F.col("n") % 3)), 3).alias("adjustment"))
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
 from veritide.functions import text as T
 from veritide.plans.base import query, sents, t2
 
@@ -41,10 +42,10 @@ def _(t):
     p = b.select("qid", "turn", "q").join(c, ["qid", "turn"]).groupBy("qid", "turn").agg(F.avg(share).alias("p"))
     return b.join(p, ["qid", "turn"], "left").select(
         "qid", "turn",
-        F.bround(T.overlap(F.col("a"), F.col("c")), 3).alias("faithfulness"),
-        F.bround(T.overlap(F.col("q"), F.col("a")), 3).alias("relevancy"),
-        F.bround(F.coalesce("p", F.lit(0.0)), 3).alias("precision"),
-        F.when(F.col("truth").isNotNull(), F.bround(T.overlap(F.col("g"), F.col("c")), 3)).alias("recall"),
+        even(T.overlap(F.col("a"), F.col("c")), 3).alias("faithfulness"),
+        even(T.overlap(F.col("q"), F.col("a")), 3).alias("relevancy"),
+        even(F.coalesce("p", F.lit(0.0)), 3).alias("precision"),
+        F.when(F.col("truth").isNotNull(), even(T.overlap(F.col("g"), F.col("c")), 3)).alias("recall"),
     )
 
 
@@ -64,9 +65,9 @@ def _(t):
     s = count("a", "na").join(count("g", "ng"), ["qid", "turn", "w"]).groupBy("qid", "turn").agg(F.sum(F.least("na", "ng")).alias("s"))
     na, ng, shared = F.size("a"), F.size("g"), F.coalesce("s", F.lit(0))
     return x.join(s, ["qid", "turn"], "left").select(
-        "qid", "turn", shared.alias("shared"), F.bround(shared / F.greatest(na, F.lit(1)), 3).alias("p"),
-        F.bround(shared / F.greatest(ng, F.lit(1)), 3).alias("r"),
-        F.bround(F.when(shared == 0, 0.0).otherwise(2.0 * shared / (na + ng)), 3).alias("f1"),
+        "qid", "turn", shared.alias("shared"), even(shared / F.greatest(na, F.lit(1)), 3).alias("p"),
+        even(shared / F.greatest(ng, F.lit(1)), 3).alias("r"),
+        even(F.when(shared == 0, 0.0).otherwise(2.0 * shared / (na + ng)), 3).alias("f1"),
     )
 
 
@@ -95,13 +96,13 @@ def _sentence_sql(least: int, against: str, share: float) -> str:
 )
 def _(t):
     bad = F.col("n") - F.col("hit")
-    score = F.bround(bad / F.greatest("n", F.lit(1)), 3)
+    score = even(bad / F.greatest("n", F.lit(1)), 3)
     return _sentence_share(t, 5, "c", 0.2).select("qid", "turn", F.col("n").alias("sentences"), bad.alias("unsupported"), score.alias("score"), (score > 0.4).alias("flagged"))
 
 
 @query("factual_correctness", _sentence_sql(4, "g", 0.3) + " SELECT qid, turn, round_even(hit::DOUBLE / greatest(n, 1), 3) AS score FROM r")
 def _(t):
-    return _sentence_share(t, 4, "g", 0.3).select("qid", "turn", F.bround(F.col("hit") / F.greatest("n", F.lit(1)), 3).alias("score"))
+    return _sentence_share(t, 4, "g", 0.3).select("qid", "turn", even(F.col("hit") / F.greatest("n", F.lit(1)), 3).alias("score"))
 
 
 @query(
@@ -110,7 +111,7 @@ def _(t):
 )
 def _(t):
     diff = (F.size(F.array_intersect("a", "c")) - F.size(F.array_intersect("a", "g"))) / F.greatest(F.size("a"), F.lit(1))
-    return base(t).select("qid", "turn", F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), diff)), 3).alias("score"))
+    return base(t).select("qid", "turn", even(F.least(F.lit(1.0), F.greatest(F.lit(0.0), diff)), 3).alias("score"))
 
 
 @query(
@@ -132,7 +133,7 @@ def _(t):
         F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy")
     )
     cos = F.coalesce(F.try_divide(F.col("d").cast("double"), F.sqrt(F.col("xx").cast("double")) * F.sqrt(F.col("yy").cast("double"))), F.lit(0.0))
-    return t("rag").select("qid", "turn").join(both, ["qid", "turn"], "left").select("qid", "turn", F.bround((cos + 1) / 2, 3).alias("score"))
+    return t("rag").select("qid", "turn").join(both, ["qid", "turn"], "left").select("qid", "turn", even((cos + 1) / 2, 3).alias("score"))
 
 
 @query(
@@ -157,7 +158,7 @@ def _(t):
 )
 def _(t):
     none = F.lit(None).cast("double")
-    return base(t).select("qid", "turn", F.bround(T.overlap(F.col("a"), F.col("c")), 3).alias("faithfulness"), F.bround(T.overlap(F.col("q"), F.col("a")), 3).alias("relevancy"), none.alias("judge"), none.alias("bertscore"))
+    return base(t).select("qid", "turn", even(T.overlap(F.col("a"), F.col("c")), 3).alias("faithfulness"), even(T.overlap(F.col("q"), F.col("a")), 3).alias("relevancy"), none.alias("judge"), none.alias("bertscore"))
 
 
 REPORT = f"""WITH {W}, v AS (SELECT round_even(len(list_intersect(a, c))::DOUBLE / greatest(len(a), 1), 3) AS f FROM m),
@@ -167,7 +168,7 @@ REPORT = f"""WITH {W}, v AS (SELECT round_even(len(list_intersect(a, c))::DOUBLE
 
 @query("rag_report", REPORT)
 def _(t):
-    f = base(t).select(F.bround(T.overlap(F.col("a"), F.col("c")), 3).alias("f"))
+    f = base(t).select(even(T.overlap(F.col("a"), F.col("c")), 3).alias("f"))
     s = f.agg(F.count("*").alias("n"), F.count_if(F.col("f") < 0.6).alias("flagged"), F.round(F.avg("f"), 6).alias("avg_f"))
     text = F.when(F.col("flagged") == 0, "all grounded").when(F.col("flagged") / F.col("n") <= 0.2, "mostly grounded").otherwise("needs review")
     return s.withColumn("verdict", text)

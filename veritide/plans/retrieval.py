@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
 from veritide.functions import text as T
 from veritide.operators import retrieval as R
 from veritide.plans.base import query, sents, t1, t2
@@ -197,7 +198,7 @@ def _(t):
     at = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0))
     total = F.sum("rel")
     return r.groupBy("qid", "turn").agg(
-        *(F.bround(F.when(total == 0, 0.0).otherwise(at(k) / total), 3).alias(f"recall_{k}") for k in (1, 3, 5, 10))
+        *(even(F.when(total == 0, 0.0).otherwise(at(k) / total), 3).alias(f"recall_{k}") for k in (1, 3, 5, 10))
     )
 
 
@@ -257,4 +258,4 @@ def _(t):
     top = R.ranked(vectors(t), 5).join(e, "id").select("q", "id", "v")
     other = top.select(F.col("q").alias("q2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
     pairs = top.join(other, (F.col("q") == F.col("q2")) & (F.col("id") < F.col("id2")))
-    return pairs.groupBy("q").agg(F.bround(1 - F.avg(R.dot(F.col("v"), F.col("v2"))), 3).alias("diversity"))
+    return pairs.groupBy("q").agg(even(1 - F.avg(R.dot(F.col("v"), F.col("v2"))), 3).alias("diversity"))

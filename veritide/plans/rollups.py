@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
 from veritide.operators import scoring as S
 from veritide.plans.base import query
 
@@ -15,14 +16,14 @@ def weighted(score, weight, digits=2):
     """Weighted mean on exact decimals, so that the order of summation cannot move a rounding edge."""
     d = lambda c: c.cast("decimal(20,6)")
     total = F.sum(d(weight))
-    return F.bround(F.when(total == 0, 0.0).otherwise(F.sum(d(score) * d(weight)).cast("double") / total.cast("double")), digits)
+    return even(F.when(total == 0, 0.0).otherwise(F.sum(d(score) * d(weight)).cast("double") / total.cast("double")), digits)
 
 
 def pillars(t):
     k = t("kr")
     return k.groupBy(*GROUP).agg(
         weighted(F.coalesce("live_score", "score"), F.col("confidence")).alias("score"),
-        F.bround(F.sum(F.col("confidence").cast("decimal(20,6)")).cast("double") / F.count("*"), 2).alias("confidence"),
+        even(F.sum(F.col("confidence").cast("decimal(20,6)")).cast("double") / F.count("*"), 2).alias("confidence"),
         F.sort_array(F.collect_list("kpi_id")).alias("kpis"),
     )
 
@@ -62,7 +63,7 @@ query("tier_quality", f"SELECT {BY}, round_even(greatest(0, 0.15 - (avg(tier) -
 query(
     "tier_distribution",
     f"SELECT {BY}, count(*) FILTER (WHERE tier = 1) AS tier1, count(*) FILTER (WHERE tier = 2) AS tier2, count(*) FILTER (WHERE tier = 3) AS tier3, round_even(avg(tier), 2) AS avg FROM cites GROUP BY {BY}",
-)(lambda t: t("cites").groupBy(*K).agg(*(F.count_if(F.col("tier") == i).alias(f"tier{i}") for i in (1, 2, 3)), F.bround(F.avg("tier"), 2).alias("avg")))
+)(lambda t: t("cites").groupBy(*K).agg(*(F.count_if(F.col("tier") == i).alias(f"tier{i}") for i in (1, 2, 3)), even(F.avg("tier"), 2).alias("avg")))
 query("source_diversity", f"SELECT {BY}, count(DISTINCT nullif(source_id, '')) AS sources FROM cites GROUP BY {BY}")(
     lambda t: t("cites").groupBy(*K).agg(F.countDistinct(F.nullif("source_id", F.lit(""))).alias("sources"))
 )
@@ -80,13 +81,13 @@ def _(t):
     top = c.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(10)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "domain")  # at most ten rows
     top = top.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(total))
-    return top.select("domain", "n", "rank", F.bround(F.col("n") * 100.0 / F.col("total"), 2).alias("pct"), "sources")
+    return top.select("domain", "n", "rank", even(F.col("n") * 100.0 / F.col("total"), 2).alias("pct"), "sources")
 
 
 query(
     "score_distribution",
     "SELECT kpi_id, count(*) AS n, round_even(avg(score), 4) AS mean, round_even(coalesce(stddev_pop(score), 0), 4) AS sd FROM kr GROUP BY kpi_id",
-)(lambda t: t("kr").groupBy("kpi_id").agg(F.count("*").alias("n"), F.bround(F.avg("score"), 4).alias("mean"), F.bround(F.coalesce(F.stddev_pop("score"), F.lit(0.0)), 4).alias("sd")))
+)(lambda t: t("kr").groupBy("kpi_id").agg(F.count("*").alias("n"), even(F.avg("score"), 4).alias("mean"), even(F.coalesce(F.stddev_pop("score"), F.lit(0.0)), 4).alias("sd")))
 query(
     "source_coverage",
     "SELECT source, count(*) AS n, CAST(sum(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, CAST(sum(CASE WHEN text ILIKE 'the and%' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM documents GROUP BY source",
@@ -97,7 +98,7 @@ query(
 )
 query("signal_status", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")(lambda t: t("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")))
 query("source_eval_avg", "SELECT count(*) AS n, round_even(avg(coalesce(live_score, 0)), 4) AS mean FROM kr")(
-    lambda t: t("kr").agg(F.count("*").alias("n"), F.bround(F.avg(F.coalesce("live_score", F.lit(0.0))), 4).alias("mean"))
+    lambda t: t("kr").agg(F.count("*").alias("n"), even(F.avg(F.coalesce("live_score", F.lit(0.0))), 4).alias("mean"))
 )
 
 
@@ -173,7 +174,7 @@ query("cited_sources", "SELECT source_id, count(DISTINCT kpi_id) AS n, list_sort
     lambda t: t("cites").groupBy("source_id").agg(F.countDistinct("kpi_id").alias("n"), F.sort_array(F.collect_set("kpi_id")).alias("kpis"))
 )
 query("authority_distribution", "SELECT tier, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM cites), 3) AS pct FROM cites GROUP BY tier")(
-    lambda t: t("cites").groupBy("tier").agg(F.count("*").alias("n")).crossJoin(F.broadcast(t("cites").agg(F.count("*").alias("all")))).select("tier", "n", F.bround(F.col("n") * 100.0 / F.col("all"), 3).alias("pct"))
+    lambda t: t("cites").groupBy("tier").agg(F.count("*").alias("n")).crossJoin(F.broadcast(t("cites").agg(F.count("*").alias("all")))).select("tier", "n", even(F.col("n") * 100.0 / F.col("all"), 3).alias("pct"))
 )
 query(
     "cot_dimension_avg",
@@ -214,7 +215,7 @@ query("score_stability", "SELECT company, round(avg(s), 5) AS stability FROM (SE
     lambda t: t("kr").groupBy("company", "kpi_id").agg(F.stddev_pop("score").alias("s")).groupBy("company").agg(F.round(F.avg("s"), 5).alias("stability"))
 )
 query("scoring_stats", "SELECT company, kpi_id, round_even(avg(score), 4) AS mean, round_even(coalesce(stddev_samp(score), 0), 4) AS sd, count(*) AS n FROM kr GROUP BY 1, 2")(
-    lambda t: t("kr").groupBy("company", "kpi_id").agg(F.bround(F.avg("score"), 4).cast("double").alias("mean"), F.bround(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 4).alias("sd"), F.count("*").alias("n"))
+    lambda t: t("kr").groupBy("company", "kpi_id").agg(even(F.avg("score"), 4).cast("double").alias("mean"), even(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 4).alias("sd"), F.count("*").alias("n"))
 )
 
 

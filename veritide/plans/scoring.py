@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import even
 from veritide.functions import text as T
 from veritide.operators import scoring as S
 from veritide.plans.base import query, t56
@@ -34,9 +35,9 @@ def _overlap(t, least):
     return paired(t).select("doc_id", T.overlap(ideal, T.long_words(F.col("text"), least)).alias("ov"))
 
 
-@query("fallback_rubric", f"WITH o AS (SELECT d.doc_id, {_OV} AS ov FROM {PAIR}) SELECT doc_id, {_BAND} AS score, CAST(round_even(CAST(0.35::DOUBLE + least(0.25::DOUBLE, ov) AS DECIMAL(18,9)), 2) AS DOUBLE) AS confidence FROM o")
+@query("fallback_rubric", f"WITH o AS (SELECT d.doc_id, {_OV} AS ov FROM {PAIR}) SELECT doc_id, {_BAND} AS score, round_even(0.35::DOUBLE + least(0.25::DOUBLE, ov), 2) AS confidence FROM o")
 def _(t):
-    return _overlap(t, 3).select("doc_id", S.band_score(F.col("ov")).alias("score"), F.bround(F.round(0.35 + F.least(F.lit(0.25), F.col("ov")), 9), 2).alias("confidence"))
+    return _overlap(t, 3).select("doc_id", S.band_score(F.col("ov")).alias("score"), even(0.35 + F.least(F.lit(0.25), F.col("ov")), 2).alias("confidence"))
 
 
 @query("prompt_heuristic", f"WITH o AS (SELECT d.doc_id, {_OV.replace('>= 3', '>= 4')} AS ov FROM {PAIR}) SELECT doc_id, CAST({_BAND} AS DOUBLE) AS score FROM o")
@@ -88,8 +89,8 @@ def evidence(t):
 
 @query(
     "enhanced_confidence",
-    f"""WITH {AGG} SELECT company, run_no, kpi_id, CAST(round_even(CAST(greatest(0, least(1, confidence + tb + greatest(0, corr * 0.15::DOUBLE - 0.05::DOUBLE) + 0.02::DOUBLE + 0.03::DOUBLE - 0.07::DOUBLE + CASE WHEN sources >= 3 THEN 0.05::DOUBLE ELSE 0 END
-        - CASE WHEN NOT cited AND confidence > 0.3 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN chunks < 3 THEN 0.2::DOUBLE ELSE 0 END)) AS DECIMAL(18,9)), 2) AS DOUBLE) AS confidence FROM r""",
+    f"""WITH {AGG} SELECT company, run_no, kpi_id, round_even(greatest(0, least(1, confidence + tb + greatest(0, corr * 0.15::DOUBLE - 0.05::DOUBLE) + 0.02::DOUBLE + 0.03::DOUBLE - 0.07::DOUBLE + CASE WHEN sources >= 3 THEN 0.05::DOUBLE ELSE 0 END
+        - CASE WHEN NOT cited AND confidence > 0.3 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN chunks < 3 THEN 0.2::DOUBLE ELSE 0 END)), 2) AS confidence FROM r""",
 )
 def _(t):
     c = F.col
@@ -98,7 +99,7 @@ def _(t):
 
 
 query("confidence_reconstruct", f"WITH {AGG} SELECT company, run_no, kpi_id, round_even(confidence - tb - corr * 0.15::DOUBLE, 4) AS base FROM r")(
-    lambda t: evidence(t).select("company", "run_no", "kpi_id", F.bround(F.col("confidence") - F.col("tb") - F.col("corr") * 0.15, 4).alias("base"))
+    lambda t: evidence(t).select("company", "run_no", "kpi_id", even(F.col("confidence") - F.col("tb") - F.col("corr") * 0.15, 4).alias("base"))
 )
 query("impact_table", f"WITH {AGG} SELECT company, run_no, kpi_id, round(corr * 0.15::DOUBLE, 6) AS corroboration, tb AS tier, sources, confidence FROM r")(
     lambda t: evidence(t).select("company", "run_no", "kpi_id", F.round(F.col("corr") * 0.15, 6).alias("corroboration"), F.col("tb").alias("tier"), "sources", "confidence")
@@ -112,7 +113,7 @@ query("prompt_build", "SELECT item_id, concat_ws(chr(10), 'Question: ' || text,
 )
 query("score_split", "SELECT company, kpi_id, round_even(avg(score) FILTER (WHERE run_no < 2), 4) AS baseline, round_even(avg(score) FILTER (WHERE run_no >= 2), 4) AS live, round_even(avg(score) FILTER (WHERE run_no >= 2) - avg(score) FILTER (WHERE run_no < 2), 4) AS delta FROM kr GROUP BY 1, 2")(
     lambda t: t("kr").groupBy("company", "kpi_id").agg(F.avg(F.when(F.col("run_no") < 2, F.col("score"))).alias("b"), F.avg(F.when(F.col("run_no") >= 2, F.col("score"))).alias("l"))
-    .select("company", "kpi_id", F.bround("b", 4).alias("baseline"), F.bround("l", 4).alias("live"), F.bround(F.col("l") - F.col("b"), 4).alias("delta"))
+    .select("company", "kpi_id", even("b", 4).alias("baseline"), even("l", 4).alias("live"), even(F.col("l") - F.col("b"), 4).alias("delta"))
 )
 GATE = "g AS (SELECT company, kpi_id, avg(score) AS m, coalesce(stddev_samp(score), 0) AS sd, avg(confidence) AS f FROM kr GROUP BY 1, 2), p AS (SELECT company, kpi_id, avg(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS p, bool_or(tier = 3 AND value > 480) AS foreign_id FROM cites GROUP BY 1, 2)"
 
@@ -125,7 +126,7 @@ def _(t):
     k = ["company", "kpi_id"]
     g = t("kr").groupBy(*k).agg(F.avg("score").alias("m"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd"), F.avg("confidence").alias("f"))
     p = t("cites").groupBy(*k).agg(F.avg(F.when(F.col("tier") == 1, 1).otherwise(0)).alias("p"), F.bool_or((F.col("tier") == 3) & (F.col("value") > 480)).alias("blocked"))
-    lo, hi = (F.bround(F.col("m") + s * F.col("sd"), 1).cast("string") for s in (-1, 1))
+    lo, hi = (even(F.col("m") + s * F.col("sd"), 1).cast("string") for s in (-1, 1))
     rng = F.when(F.col("sd") > 0.4, F.concat(lo, F.lit("–"), hi))
     return g.join(p, k).select(*k, (F.col("f") >= 0.8).alias("faithful"), rng.alias("range"), (F.coalesce("p", F.lit(0.0)) < 0.4).alias("suppress"), "blocked")
 
