@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from veritide.operators import scopes, sinks
-from veritide.plans.base import QUERIES, query
+from veritide.plans.base import ORACLES, QUERIES, query
 from veritide.plans.rollups import PILLAR, pillars
 from veritide.sources import files
 
@@ -102,7 +102,7 @@ def _(t):
     return back.select("company", "run_no", F.explode("kpis").alias("kpi_id", "v")).select("company", "run_no", "kpi_id", "v.score", "v.confidence")
 
 
-QUERIES["sink_snapshot"] = QUERIES["scan_snapshot"]
+QUERIES["sink_snapshot"], ORACLES["sink_snapshot"] = QUERIES["scan_snapshot"], ORACLES["scan_snapshot"]
 
 
 @query("sink_report", f"WITH p AS ({PILLAR}) SELECT company, run_no, count(*) AS n_pillars, round(sum(score), 4) AS total FROM p GROUP BY 1, 2")
