@@ -121,6 +121,10 @@ def test_warc(spark, tmp_path):
     assert [(r.record_id, r.payload) for r in some.collect()] == [("<urn:page:3>", None)]
     plan = some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "WARC" in plan or "warc" in plan
+    bare = spark.createDataFrame([(None, None, big), (None, "u", big), (8, "u", big), (9, None, big)], "page_id long, url string, html string")
+    warc.write_warc(bare, new := new_path(spark, "warc"))
+    rows = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archived_pages(warc.read_warc(spark, new)).collect()]
+    assert sorted(rows, key=str) == [(8, "response", None, 150), (9, "revisit", 8, 150), *[(None, "response", None, 150)] * 2]
     warc.write_warc(pages.limit(0), new := new_path(spark, "warc"))
     assert warc.read_warc(spark, new).count() == 0
 
@@ -296,3 +300,20 @@ def test_languages(spark, messy, empty):
     assert {out[i].lang_pred for i in (0, 1, 2)} == {"und"} and out[12].lang_pred in model.langs and all(0 <= r.score <= 1 for r in out.values())
     assert languages.identify(empty, model).count() == 0
     assert {r.lang_pred for r in languages.identify(messy, languages.train(empty)).collect()} == {"und"}
+
+
+def test_sql_twins(spark, tmp_path):
+    import duckdb
+
+    from veritide.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, sf)
+        got = con.execute(sql)
+        names = [d[0] for d in got.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in df.collect()), name

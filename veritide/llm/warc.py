@@ -28,7 +28,7 @@ VERSION, END, DATE = "WARC/1.1", "\r\n\r\n", "2024-01-01T00:00:00Z"
 
 
 def record_id(kind: str, key) -> F.Column:
-    return F.concat(F.lit(f"<urn:{kind}:"), key.cast("string"), F.lit(">"))
+    return F.concat(F.lit(f"<urn:{kind}:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(">"))
 
 
 def with_duplicates(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
@@ -65,14 +65,14 @@ def write_warc(
     Of rows with equal payloads of at least ``least`` bytes, that with the smallest id becomes a response
     and the others revisits that name it; smaller payloads are always responses.  A null payload is
     empty; a null URI leaves its header out; line breaks in a URI become %0A and %0D.  Rows that repeat
-    with their id are all responses.  A row without id raises.  An empty table writes no records.
+    with their id are all responses, and so are rows without id, whose record id says null; no other
+    record refers to them.  An empty table writes no records.
     """
     rows = pages.select(
-        F.assert_true(F.col(id_col).isNotNull(), "a page needs an id").alias("_ok"),
         F.col(id_col).alias("_id"),
         F.replace(F.replace(F.col(uri_col).cast("string"), F.lit("\n"), F.lit("%0A")), F.lit("\r"), F.lit("%0D")).alias("_uri"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("_payload"),
-    ).where(F.col("_ok").isNull()).drop("_ok")
+    )
     rows = with_duplicates(rows, id_col, payload_col, least)
     revisit = F.col("_first").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
@@ -213,7 +213,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 def archived_pages(archive: DataFrame) -> DataFrame:
     """The contract's columns: sizes and digests of responses come from the payloads that were read."""
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     whole = F.col("record_type") == "response"
     return archive.where(F.col("record_type").isin("response", "revisit")).select(
         number("record_id").alias("page_id"),
