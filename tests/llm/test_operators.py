@@ -296,6 +296,10 @@ def test_languages(spark, messy, empty):
     model = languages.train(docs)
     got = languages.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
+    known = docs.where("lang IS NOT NULL")
+    share = {r.lang: min(r["count"], 50) for r in known.groupBy("lang").count().collect()}
+    assert {r._lang: r["count"] for r in languages.sample(known, 50, 4000, 200).groupBy("_lang").count().collect()} == share
+    assert languages.sample(known, 50, 4000, 1).select("_lang").distinct().count() == 1
     out = {r.doc_id: r for r in languages.identify(messy, model).collect()}
     assert {out[i].lang_pred for i in (0, 1, 2)} == {"und"} and out[12].lang_pred in model.langs and all(0 <= r.score <= 1 for r in out.values())
     assert languages.identify(empty, model).count() == 0

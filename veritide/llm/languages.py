@@ -7,11 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritide.llm import chars
-from veritide.llm.shared import bounded_sample, held_out, read, ship
+from veritide.llm.shared import held_out, read, ship
 
 #: Families of language codes; a code that is not named is a family of its own.
 FAMILIES = {
@@ -122,24 +122,38 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
     return model
 
 
-def train(docs: DataFrame, bound: int = 1000) -> Model:
-    """Fit on at most ``bound`` documents of each language (4000 in all, or 50 of each), picked by the hash of their id, none held out.
+def sample(known: DataFrame, bound: int, total: int, languages: int) -> DataFrame | None:
+    """(_id, _lang): for each language the rows with the smallest hashes of their id; None without a language.
 
-    Rows without text, letters or lang teach nothing.
+    One pass counts the languages, one picks: of large languages only about twice the bound passes a
+    first cut by hash, so that no task ranks more than that.
+    """
+    ids = known.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    sizes = ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()
+    if not sizes:
+        return None
+    share = max(50, min(bound, total // len(sizes)))
+    wide = lambda n: n > 2 * share + 1000
+    below = {c: int(-(2.0**63) + 2.0**64 * (2 * share + 500) / n) if wide(n) else (1 << 63) - 1 for c, n in sizes}
+    limit = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
+    h = F.xxhash64(F.col("_id").cast("string"), F.lit("sample"))
+    order = Window.partitionBy("_lang").orderBy(h, "_id")
+    few = ids.where(h <= F.try_element_at(limit, F.col("_lang")))
+    return few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= share).select("_id", "_lang").distinct()
+
+
+def train(docs: DataFrame, bound: int = 1000, total: int = 4000, languages: int = 200) -> Model:
+    """Fit on at most ``bound`` documents of each language (``total`` in all, or 50 of each), picked by the hash of their id, none held out.
+
+    Of more than ``languages`` languages the most frequent are learned.  Rows without id, text, letters or lang teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    ids = known.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    langs = [r[0] for r in ids.select("_lang").distinct().limit(200).collect()]
-    share = max(50, min(bound, 4000 // max(1, len(langs))))
-    picked = None
-    for c in sorted(langs):
-        some = bounded_sample(ids.where(F.col("_lang") == c).select("_id"), "_id", share)
-        picked = some if picked is None else picked.union(some)
+    picked = sample(known, bound, total, languages)
     if picked is None:
         return fit(np.zeros((0, 2 * DIM + 1), np.float32), [])
     rows = known.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_lang")).join(
-        F.broadcast(picked.distinct()), F.col("_doc") == F.col("_id")
-    )
+        F.broadcast(picked.withColumnRenamed("_lang", "_of")), (F.col("_doc") == F.col("_id")) & (F.col("_lang") == F.col("_of"))
+    )  # at most ``total`` pairs, or 50 of each language
 
     def run(batches):
         for b in batches:
