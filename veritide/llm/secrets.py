@@ -55,21 +55,49 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+# What may stand between two lines of a key's body: white space, its escapes, quotes.
+_GAP = r"(?:[\s\"'>|,]|\\[nrt])"
+_END = r"-----END [A-Z ]*PRIVATE KEY-----"
+_NEXT = re.compile(rf"{_END}|-----BEGIN ")
+# Without END: header fields, long base64 runs, and lines that hold nothing but base64.
+_BODY = re.compile(
+    rf"(?:{_GAP}*+(?:[A-Z][A-Za-z]*-[A-Za-z-]+: [^\r\n\\]*|[A-Za-z0-9+/]{{20,}}+=*+|[A-Za-z0-9+/]++(?:==?(?![A-Za-z0-9])|(?=[ \t\"']*(?:[\r\n\\]|\Z)))))*+"
+)
+
+
+def key_end(text: str, at: int) -> int:
+    """Where the private key ends whose BEGIN line ends at ``at``: after its END line, or after its base64 lines without one."""
+    last = _NEXT.search(text, at)
+    return last.end() if last and last[0].startswith("-----END") else _BODY.match(text, at).end()
+
+
+def scan_whole(text: str) -> list[tuple[str, int, int]]:
+    """``scan``, with private keys up to their ends, as they are to be replaced."""
+    return [(k, s, key_end(text, e) if k == "private_key" else e) for k, s, e in scan(text)]
+
+
 FINDINGS = "array<struct<kind:string,start:long,end:long>>"
 LEDGER_SCHEMA = f"digest binary, findings {FINDINGS}"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+#: Name of the ledger's folder by the scan: that of whole keys changes with its own patterns too.
+VERSIONS = {
+    scan: RULES_VERSION,
+    scan_whole: RULES_VERSION + "-" + hashlib.sha256((_NEXT.pattern + _BODY.pattern).encode()).hexdigest()[:8],
+}
+
+
+def read_ledger(spark: SparkSession, path: str, by=scan) -> DataFrame:
     """Scanned blobs of the present rule version, those without findings too; none where nothing is stored."""
-    here = f"{path}/rules={RULES_VERSION}"
+    here = f"{path}/rules={VERSIONS[by]}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(here)
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
     return spark.read.schema(LEDGER_SCHEMA).parquet(here)
 
 
-def scan_blobs(keyed: DataFrame, ledger: str) -> DataFrame:
+def scan_blobs(keyed: DataFrame, ledger: str, by=scan) -> DataFrame:
     """Scan the blobs of ``keyed`` (_id, _text, _digest) that the ledger lacks, append them, return the whole ledger."""
     spark = keyed.sparkSession
     ship(spark)
@@ -77,14 +105,14 @@ def scan_blobs(keyed: DataFrame, ledger: str) -> DataFrame:
     def run(batches):
         for b in batches:
             found = [
-                [{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in b.column(1).to_pylist()
+                [{"kind": k, "start": s, "end": e} for k, s, e in by(t)] for t in b.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(_SPAN))], ["digest", "findings"])
 
-    todo = representatives(keyed, read_ledger(spark, ledger)).select("_digest", "_text")
-    todo.mapInArrow(run, LEDGER_SCHEMA).write.mode("append").parquet(f"{ledger}/rules={RULES_VERSION}")
+    todo = representatives(keyed, read_ledger(spark, ledger, by)).select("_digest", "_text")
+    todo.mapInArrow(run, LEDGER_SCHEMA).write.mode("append").parquet(f"{ledger}/rules={VERSIONS[by]}")
     # A row repeated with its id was scanned for each of its copies, with the same findings.
-    return read_ledger(spark, ledger).dropDuplicates(["digest"])
+    return read_ledger(spark, ledger, by).dropDuplicates(["digest"])
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,10 +142,11 @@ def scan_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
 def redact(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every finding in its text replaced by ``mark``; rows, columns and clean texts stay as they are.
 
-    Overlapping findings are replaced as one.  A null text stays null.
+    Overlapping findings are replaced as one; a private key is replaced with its body and END line.  A null
+    text stays null.
     """
     keyed = keyed_texts(docs, id_col, text_col)
-    found = scan_blobs(keyed, ledger).where(F.size("findings") > 0).withColumnRenamed("digest", "_blob")
+    found = scan_blobs(keyed, ledger, scan_whole).where(F.size("findings") > 0).withColumnRenamed("digest", "_blob")
     rows = docs.withColumn("_blob_of", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     rows = rows.join(found, F.col("_blob_of") == F.col("_blob"), "left")
     dirty = F.col("findings").isNotNull()
