@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
-from veritide.llm import secrets
+from veritide.llm import decontaminate, secrets
 from veritide.llm.shared import new_path
 
 
@@ -26,3 +26,11 @@ def test_redact_whole_keys(spark):
         assert not any(x in t for x in (line, line[::-1], short, "PRIVATE KEY", "DEK-Info")), (i, t)
         assert t.startswith("a b") and ("some words" in t) == ("some words" in texts[i]), (i, t)
     assert got[8] == "a b\n[SECRET]\nsome words stay here"
+
+
+def test_short_items_leak(spark):
+    items = ["What is 2 + 2?", "ab", "東京の人口は？", "x", "", None]
+    texts = ["so, WHAT is 2+2", "what is 2 22", "abc cab", "ab-c", "私は東京の人口は知らない", "東京の人口", "x", "", None, "What is 2 + 3"]
+    df, bench = (spark.createDataFrame(list(enumerate(x)), s) for x, s in ((texts, "doc_id long, text string"), (items, "item_id long, text string")))
+    got = sorted(tuple(r) for r in decontaminate.leaks(df, bench).collect())
+    assert got == [(0, 0, 0, 0, 14), (3, 1, 0, 0, 2), (4, 2, 0, 0, 8), (6, 3, 0, 0, 1)]

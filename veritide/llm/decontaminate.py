@@ -13,8 +13,10 @@ from veritide.llm.shared import read, ship
 
 #: Errors allowed for each character of an item.
 RATE = 0.06
-#: Items shorter than this (normalised) are too common to mean a leak unless they fill a whole text.
+#: Items shorter than this (normalised) must stand in the text unchanged and as whole words.
 LEAST = 24
+#: Scripts without spaces, each of whose characters begins and ends a word: Thai to Myanmar, Khmer, kana, Han.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalised(text: Column) -> Column:
@@ -36,6 +38,13 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _between(text: str, at: int) -> bool:
+    """Whether a word may end and another begin before text[at]."""
+    if at in (0, len(text)) or " " in text[at - 1 : at + 1]:
+        return True
+    return unicodedata.category(text[at])[0] != "M" and bool(_SPACELESS.search(text[at - 1 : at + 1]))
+
+
 class Pattern:
     """Myers' algorithm for one item: the least edit distance of the item to any substring of a text."""
 
@@ -74,11 +83,12 @@ class Pattern:
 class Matcher:
     """All items of one block: an automaton of their pieces, and one pattern for each."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int = LEAST):
         import ahocorasick
 
         self.items = items
-        self.budget = [int(rate * len(t)) for _, t in items]
+        self.short = [len(t) < least for _, t in items]
+        self.budget = [0 if short else int(rate * len(t)) for (_, t), short in zip(items, self.short, strict=True)]
         self.patterns = [Pattern(t) for _, t in items]
         where: dict[str, list] = {}
         for k, (_, t) in enumerate(items):
@@ -93,8 +103,13 @@ class Matcher:
     def matches(self, text: str) -> dict[int, tuple[int, int]]:
         """For each item within its budget somewhere in the text: (least distance, end of the passage)."""
         spans: dict[int, list] = {}
+        found: dict[int, tuple[int, int]] = {}
         for last, (n, places) in self.auto.iter(text) if self.items else ():
             for k, offset in places:
+                if self.short[k]:
+                    if k not in found and _between(text, last + 1 - n) and _between(text, last + 1):
+                        found[k] = (0, last + 1)
+                    continue
                 m, e = self.patterns[k].m, self.budget[k]
                 begin = last + 1 - n - offset
                 lo, hi = max(0, begin - e), min(len(text), begin + m + e)
@@ -103,7 +118,6 @@ class Matcher:
                     held[-1][1] = max(held[-1][1], hi)
                 else:
                     held.append([lo, hi])
-        found: dict[int, tuple[int, int]] = {}
         for k, windows in spans.items():
             for lo, hi in windows:
                 d, end = self.patterns[k].search(text[lo:hi])
@@ -112,9 +126,9 @@ class Matcher:
         return found
 
 
-def item_blocks(bench: DataFrame, block_bytes: int, least: int) -> list[list[tuple[int, str]]]:
+def item_blocks(bench: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
     """The normalised items in blocks of about ``block_bytes``, one read of the table for each; only one block is held at a time."""
-    items = bench.select(F.col("item_id").alias("i"), normalised(F.col("text")).alias("t")).where(F.length("t") >= least)
+    items = bench.select(F.col("item_id").alias("i"), normalised(F.col("text")).alias("t")).where(F.length("t") > 0)
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
     for k in range(n):
@@ -133,10 +147,10 @@ def leaks(
 ) -> DataFrame:
     """(id, item_id, distance, budget, passage_end): every item within its error budget of a passage of a text.
 
-    An item of n normalised characters may differ by floor(rate * n) edits.  passage_end counts characters
-    of the normalised text.  Benchmark items are a stated query set: blocks of about ``block_bytes`` are
-    matched against all texts, block by block.  Null and empty texts leak nothing, nor do null, empty or
-    shorter items than ``least``; null ids are kept as they are, repeated rows each give their rows; an
+    An item of n normalised characters may differ by floor(rate * n) edits; one shorter than ``least`` by
+    none, and it counts only as whole words.  passage_end counts characters of the normalised text.  Benchmark items are a stated query set: blocks of about ``block_bytes`` are
+    matched against all texts, block by block.  Null and empty texts leak nothing, nor do null and
+    empty items; null ids are kept as they are, repeated rows each give their rows; an
     empty table on either side gives no rows.
     """
     ship(docs.sparkSession)
@@ -145,10 +159,10 @@ def leaks(
     schema = f"{id_col} {kind}, item_id {item_kind.simpleString()}, distance int, budget int, passage_end long"
     names = [id_col, "item_id", "distance", "budget", "passage_end"]
     out = None
-    for block in item_blocks(bench, block_bytes, least):
+    for block in item_blocks(bench, block_bytes):
 
         def run(batches, block=block):
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, least)
             for b in batches:
                 rows = []
                 for at, t in enumerate(b.column(1).to_pylist()):
