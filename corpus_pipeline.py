@@ -20,10 +20,17 @@ from veritide.llm.shared import new_path, read, ship, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (left_semi) or is not (left_anti); a null id is in no set."""
-    ids = ids.select(F.col("doc_id").alias("_want")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("_want"), how).select(*docs.columns)
+def _own_ids(docs: DataFrame) -> bool:
+    """Whether every row has an id that no other row has."""
+    return docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each id and text; rows with neither id nor words are nothing's copy and all stay."""
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    one = rows.where(~loose).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    return one.select("doc_id", "text", "_rest.*").select(*rows.columns).unionByName(rows.where(loose))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +42,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group at similarity 0.8 or more."""
-    copies = near_duplicates(docs, percent=80).where("NOT kept AND doc_id IS NOT NULL")
-    return _only(docs, copies, "left_anti")
+    """Keeps one row of each group at similarity 0.8 or more: that with the smallest id, any if none has an id.
+
+    Rows are told apart by their ids; where some are null or repeated, by a hash of id and text.
+    """
+    if _own_ids(docs):
+        copies = near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
+        return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(rows, percent=80, id_col="_key").select(F.col("_key").alias("_of"), "component_id").distinct()
+    ids = rows.select("_key", "doc_id").distinct().join(groups, F.col("_key") == F.col("_of"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    kept = ids.groupBy("component_id").agg(first.alias("f")).select(F.col("f._key").alias("_kept"))
+    return _one_of_each(rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item within its error budget."""
-    return _only(docs, written(leaks(docs, read(spark, sf_dir, "benchmark")), "leaks"), "left_anti")
+    """Drops the documents that hold a benchmark item within its error budget, by their texts, whatever their ids."""
+    rows = docs.withColumn("_text_of", F.unhex(F.sha2("text", 256)))
+    found = written(leaks(rows, read(spark, sf_dir, "benchmark"), id_col="_text_of"), "leaks")
+    found = found.select(F.col("_text_of").alias("_leak")).distinct()
+    return rows.join(found, F.col("_text_of") == F.col("_leak"), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

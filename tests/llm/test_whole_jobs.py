@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import corpus_pipeline as C
+
 from veritide.llm import decontaminate, secrets
-from veritide.llm.shared import new_path
+from veritide.llm.shared import new_path, read, written
 
 
 def test_redact_whole_keys(spark):
@@ -34,3 +36,23 @@ def test_short_items_leak(spark):
     df, bench = (spark.createDataFrame(list(enumerate(x)), s) for x, s in ((texts, "doc_id long, text string"), (items, "item_id long, text string")))
     got = sorted(tuple(r) for r in decontaminate.leaks(df, bench).collect())
     assert got == [(0, 0, 0, 0, 14), (3, 1, 0, 0, 2), (4, 2, 0, 0, 8), (6, 3, 0, 0, 1)]
+
+
+def test_pipeline_decides_by_row(spark):
+    sf = "/root/testdata/sf0.001"
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    leak = read(spark, sf, "benchmark").first().text
+    rows = [
+        (None, a), (None, a), (None, a + " more"),  # one stays
+        (1, b), (1, b), (2, b), (1, c), (3, c + " more"),  # the first and the last 1 stay
+        (4, "other words " + a[::-1]), (4, leak), (None, leak), (None, None), (None, ""), (5, None), (5, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = written(C.near_duplicate(spark, docs, sf), "test-rows")
+    assert got.columns == docs.columns
+    texts = sorted((r.text or "", r.doc_id or 0) for r in got.collect())
+    of = lambda t: [x for x in texts if x[0][:20] == t[:20]]
+    assert len(of(a)) == 1 and of(b) == [(b, 1)] and of(c) == [(c, 1)] and len(of(leak)) == 1
+    assert [i for t, i in texts if not t] == [0, 0, 5]
+    left = C.decontamination(spark, docs, sf).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(r) for r in rows if r[1] != leak)
