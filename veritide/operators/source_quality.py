@@ -220,3 +220,34 @@ def token_overlap(sources: DataFrame, least: float = 0.75) -> DataFrame:
     both = x.join(y, ["grp", "t"]).where((F.col("a") < F.col("b")) & alike).groupBy("grp", "a", "b", "na", "nb").agg(F.count("*").alias("s"))
     j = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
     return both.where(j >= least).select("grp", "a", "b", F.round(j, 6).alias("jaccard"))
+
+
+def token_links(sources: DataFrame, least: float = 0.75) -> DataFrame:
+    """(source_id, class_id, copies, links) of every row: how many other rows' T4 words overlap its own to ``least``.
+
+    All rows are compared.  Rows of equal words are one class (class_id is its smallest id); classes are
+    joined on the rarest words of each, as many as two that reach ``least`` must have one of in common,
+    and full sets decide.  Rows without such words link with nothing and form their own class.
+    """
+    w = sources.select("source_id", F.coalesce(F.array_sort(T.source_words(F.col("text"))), F.array().cast("array<string>")).alias("w"))
+    rows = w.select("source_id", "w", F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)).alias("key"))
+    sets = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("w").alias("w"), F.min("source_id").alias("class_id"), F.count("*").alias("copies"))
+    tok = sets.select("key", F.explode("w").alias("t"))
+    seen = tok.join(tok.groupBy("t").agg(F.count("*").alias("c")), "t").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
+    n = F.size("r")
+    head = seen.select("key", n.alias("n"), F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("h")).select("key", "n", "h.t")
+    x = head.select("t", F.col("key").alias("a"), F.col("n").alias("na"))
+    y = head.select("t", F.col("key").alias("b"), F.col("n").alias("nb"))
+    alike = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    pairs = x.join(y, "t").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    side = lambda k: sets.select(F.col("key").alias(k), F.col("w").alias(f"w{k}"), F.col("copies").alias(f"c{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", F.size(F.array_intersect("wa", "wb")))
+    both = both.where(F.col("s") / (F.size("wa") + F.size("wb") - F.col("s")) >= least)
+    more = F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("cb").alias("c")), F.struct(F.col("b").alias("key"), F.col("ca").alias("c"))))
+    more = both.select(more.alias("m")).groupBy("m.key").agg(F.sum("m.c").alias("more"))
+    found = sets.select("key", "class_id", "copies").join(more, "key", "left")
+    one = F.lit(1).cast("long")
+    return rows.select("source_id", "key").join(found, "key", "left").select(
+        "source_id", F.when(F.col("key").isNull(), F.col("source_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("copies", one).alias("copies"), (F.coalesce("copies", one) - 1 + F.coalesce("more", F.lit(0))).alias("links"),
+    )

@@ -213,6 +213,20 @@ def _(t):
     return n.select("grp", even(1 - share, 3).alias("independence"), even(-F.least(F.lit(0.15), 0.15 * share), 3).alias("penalty"))
 
 
+@query("token_overlap_all")
+def _(t):
+    return Q.token_links(t("documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+@query("source_independence_all")
+def _(t):
+    d = t("documents")
+    links = Q.token_links(d.select(F.struct("doc_id", "source").alias("source_id"), "text"))
+    share = F.avg((F.col("links") > 0).cast("int"))
+    one = links.groupBy(F.col("source_id.source").alias("source")).agg(F.count("*").alias("n"), share.alias("share"))
+    return one.select("source", "n", even(1 - F.col("share"), 3).alias("independence"), even(-F.least(F.lit(0.15), 0.15 * F.col("share")), 3).alias("penalty"))
+
+
 @query(
     "source_reuse_penalty",
     """WITH k AS (SELECT DISTINCT company, run_no, kpi_id, url FROM cites), n AS (SELECT company, run_no, greatest(2, CAST(floor(0.25 * count(DISTINCT kpi_id)) AS INT)) AS lim FROM cites GROUP BY 1, 2),
