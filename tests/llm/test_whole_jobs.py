@@ -2,7 +2,7 @@
 
 import corpus_pipeline as C
 
-from veritide.llm import decontaminate, secrets
+from veritide.llm import decontaminate, languages, secrets
 from veritide.llm.shared import new_path, read, written
 
 
@@ -56,3 +56,9 @@ def test_pipeline_decides_by_row(spark):
     assert [i for t, i in texts if not t] == [0, 0, 5]
     left = C.decontamination(spark, docs, sf).collect()
     assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(r) for r in rows if r[1] != leak)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k * 10 + i, f"word{k} " * 5, f"l{k:03}") for k in range(210) for i in range(9)]
+    model = languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 2, 420)
+    assert len(model.langs) == 210

@@ -122,14 +122,15 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
     return model
 
 
-def sample(known: DataFrame, bound: int, total: int, languages: int) -> DataFrame | None:
+def sample(known: DataFrame, bound: int, total: int, languages: int | None = None) -> DataFrame | None:
     """(_id, _lang): for each language the rows with the smallest hashes of their id; None without a language.
 
     One pass counts the languages, one picks: of large languages only about twice the bound passes a
     first cut by hash, so that no task ranks more than that.
     """
     ids = known.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    sizes = ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()
+    sizes = ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang")
+    sizes = (sizes if languages is None else sizes.limit(languages)).collect()
     if not sizes:
         return None
     share = max(50, min(bound, total // len(sizes)))
@@ -142,10 +143,10 @@ def sample(known: DataFrame, bound: int, total: int, languages: int) -> DataFram
     return few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= share).select("_id", "_lang").distinct()
 
 
-def train(docs: DataFrame, bound: int = 1000, total: int = 4000, languages: int = 200) -> Model:
+def train(docs: DataFrame, bound: int = 1000, total: int = 4000, languages: int | None = None) -> Model:
     """Fit on at most ``bound`` documents of each language (``total`` in all, or 50 of each), picked by the hash of their id, none held out.
 
-    Of more than ``languages`` languages the most frequent are learned.  Rows without id, text, letters or lang teach nothing.
+    All languages are learned, or the ``languages`` most frequent where that is given.  Rows without id, text, letters or lang teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     picked = sample(known, bound, total, languages)
