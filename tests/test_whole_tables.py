@@ -5,6 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from veritide.functions import text as T
+from veritide.operators import retrieval as R
 from veritide.plans import catalog
 
 
@@ -28,3 +29,10 @@ def test_token_overlap_over_all_rows(spark):
         own = share.pop(r.source)
         assert r.n == len(own) and abs(r.independence - (1 - sum(own) / len(own))) < 6e-4
     assert not share
+
+
+def test_vector_scores_in_blocks(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = e.where("id < 9").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    whole, blocks = (sorted(map(tuple, R.vector_scores(e, q, n).collect())) for n in (100, 2))
+    assert whole == blocks and len(whole) == 9 * e.count()
