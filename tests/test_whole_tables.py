@@ -36,3 +36,22 @@ def test_vector_scores_in_blocks(spark):
     q = e.where("id < 9").select(F.col("id").alias("q"), F.col("v").alias("qv"))
     whole, blocks = (sorted(map(tuple, R.vector_scores(e, q, n).collect())) for n in (100, 2))
     assert whole == blocks and len(whole) == 9 * e.count()
+
+
+def test_hybrid_over_all_rows(spark):
+    sf, dense = "/root/testdata/sf0.001", {}
+    for table, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        rows = R.sparse_embedding(spark.read.parquet(f"{sf}/{table}.parquet"), key, T.words(F.col("text")), 256).collect()
+        for r in rows:
+            dense.setdefault((table, r.id), {})[r.bucket] = r.weight
+    best = {}
+    for r in catalog.QUERIES["bm25_topk"](spark, sf).collect():
+        best.setdefault(r.q, {}).setdefault(r.id, []).append(r["rank"])
+    for q in best:
+        ask = dense["benchmark", q]
+        cos = sorted((-round(sum(x * w.get(b, 0) for b, x in ask.items()), 6), i) for (table, i), w in dense.items() if table == "documents")
+        for rank, (_, i) in enumerate(cos[:10], 1):
+            best[q].setdefault(i, []).append(rank)
+    got = catalog.QUERIES["hybrid_retrieve_all"](spark, sf).collect()
+    assert len(got) == 10 * len(best) and any(r.id % 2 and r.id % 3 for r in got)
+    assert all(abs(r.score - sum(1 / (60 + k) for k in best[r.q][r.id])) < 1e-7 for r in got)

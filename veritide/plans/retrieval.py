@@ -113,6 +113,18 @@ def _(t):
     return fused(t).where("rank <= 10")
 
 
+def fused_all(t):
+    """BM25 and hash embeddings, each over all documents."""
+    e = R.sparse_embedding(t("documents"), "doc_id", T.words(F.col("text")), 256)
+    asked = R.sparse_embedding(t("benchmark"), "item_id", T.words(F.col("text")), 256).select(F.col("id").alias("q"), "bucket", F.col("weight").alias("qw"))
+    near = e.join(asked, "bucket").groupBy("q", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+    lists = (R.ranked(s, 10).select("q", "id", F.lit(i).alias("list_no"), "rank") for i, s in enumerate((near, bm25(t)), 1))
+    return R.rrf(next(lists).unionByName(next(lists)))
+
+
+query("hybrid_retrieve_all")(lambda t: fused_all(t).where("rank <= 10"))
+
+
 @query("rerank", f"WITH {BM25} SELECT q, id, score, rank FROM ({TOP}) WHERE rank <= 3")
 def _(t):
     return R.ranked(R.ranked(bm25(t), 10).drop("rank"), 3)
