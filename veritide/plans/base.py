@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritide.functions.text import STOP, STOP_CLAIMS
+from veritide.sources.tables import read_table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +29,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local master may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="veritide-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = f"file://{made}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -81,8 +98,11 @@ VIEWS = {
         FROM qa q JOIN conversations c ON c.conv_id = q.qid AND c.turn <> q.turn AND c.turn <> q.turn + 1
     """,
     "rag": """
-        SELECT q.qid, q.turn, q.question, q.answer, b.text AS truth
-        FROM qa q LEFT JOIN benchmark b ON b.item_id = q.qid % 50
+        SELECT q.qid, q.turn, q.question, q.answer, i.text AS truth
+        FROM qa q LEFT JOIN items i ON i.r = q.qid % i.n
+    """,
+    "items": """
+        SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark
     """,
 }
 
@@ -167,15 +187,21 @@ def _ctx(t) -> DataFrame:
     return q.join(c, (F.col("qid") == F.col("_c")) & near).drop("_c")
 
 
+def _items(t) -> DataFrame:
+    """The benchmark's items with their place r and their number n, so that rows are dealt over all of them."""
+    b = t("benchmark")
+    return b.select("item_id", "text", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("r"), F.lit(b.count()).alias("n"))
+
+
 def _rag(t) -> DataFrame:
-    b = t("benchmark").select(F.col("item_id").alias("_i"), F.col("text").alias("truth"))
-    return _qa(t).join(b, F.col("qid") % 50 == F.col("_i"), "left").drop("_i")
+    i = _items(t).select("r", "n", F.col("text").alias("truth"))
+    return _qa(t).join(i, F.col("r") == F.col("qid") % F.col("n"), "left").drop("r", "n")
 
 
-_MADE = {"kr": _kr, "cites": _cites, "qa": _qa, "ctx": _ctx, "rag": _rag}
+_MADE = {"kr": _kr, "cites": _cites, "qa": _qa, "ctx": _ctx, "rag": _rag, "items": _items}
 
 
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in _MADE:
         return _MADE[name](lambda other: table_of(spark, sf_dir, other))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
