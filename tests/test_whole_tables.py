@@ -52,6 +52,6 @@ def test_hybrid_over_all_rows(spark):
         cos = sorted((-round(sum(x * w.get(b, 0) for b, x in ask.items()), 6), i) for (table, i), w in dense.items() if table == "documents")
         for rank, (_, i) in enumerate(cos[:10], 1):
             best[q].setdefault(i, []).append(rank)
-    got = catalog.QUERIES["hybrid_retrieve_all"](spark, sf).collect()
+    got = catalog.QUERIES["hybrid_retrieve"](spark, sf).collect()
     assert len(got) == 10 * len(best) and any(r.id % 2 and r.id % 3 for r in got)
     assert all(abs(r.score - sum(1 / (60 + k) for k in best[r.q][r.id])) < 1e-7 for r in got)

@@ -28,7 +28,7 @@ TOP = "SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DES
 VEC = """
     vs AS (SELECT a.vec_id AS q, b.vec_id AS id, b.label,
                   round(greatest(0.0, (1 + list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2), 6) AS score
-           FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id),
+           FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
     vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM vs)
 """
 
@@ -38,20 +38,21 @@ def bm25(t, where=None):
 
 
 def vectors(t):
+    """The query set is every row whose id is divisible by 100, against all rows."""
     e = t("embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     s = R.vector_scores(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q)
     return s.where("q <> id")
 
 
 def golden(t):
     e = t("embeddings")
-    a = e.where("vec_id < 20").select(F.col("vec_id").alias("q"), "label")
+    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "label")
     b = e.select(F.col("vec_id").alias("id"), "label")
     return a.join(b, "label").where("q <> id").select("q", "id", (1.0 + F.col("id") % 3).alias("relevance"))
 
 
-GOLD = "gold AS (SELECT a.vec_id AS q, b.vec_id AS id, CAST(1 + b.vec_id % 3 AS DOUBLE) AS relevance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20)"
+GOLD = "gold AS (SELECT a.vec_id AS q, b.vec_id AS id, CAST(1 + b.vec_id % 3 AS DOUBLE) AS relevance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT q, id, score, rank FROM ({TOP}) WHERE rank <= 10")
@@ -89,45 +90,41 @@ def _(t):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(R.dot(F.col("va"), F.col("vb")), 6).alias("cos"))
 
 
-HYB = f"""{BM25}, ta AS (SELECT q, id, 1 AS list_no, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sc WHERE id % 2 = 0),
-    tb AS (SELECT q, id, 2 AS list_no, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sc WHERE id % 3 = 0),
-    l AS (SELECT * FROM ta WHERE rank <= 10 UNION ALL SELECT * FROM tb WHERE rank <= 10),
-    f AS (SELECT q, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min(list_no * 1000 + rank) AS first FROM l GROUP BY q, id),
-    fr AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, first, id) AS rank FROM f)"""
-
-
-def fused(t):
-    s = bm25(t)
-    a = R.ranked(s.where("id % 2 = 0"), 10).select("q", "id", F.lit(1).alias("list_no"), "rank")
-    b = R.ranked(s.where("id % 3 = 0"), 10).select("q", "id", F.lit(2).alias("list_no"), "rank")
-    return R.rrf(a.unionByName(b))
+def _embedding_sql(tokens: str, dims: int, table: str = "documents", key: str = "doc_id", name: str = "") -> str:
+    return f"""tok{name} AS (SELECT {key} AS id, unnest({tokens}) AS tk FROM {table}),
+        raw{name} AS (SELECT id, CAST(('0x' || substr(md5(tk), 1, 8))::BIGINT % {dims} AS INT) AS bucket,
+                       sum(CASE WHEN ('0x' || substr(md5(tk), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS x FROM tok{name} GROUP BY ALL),
+        nz{name} AS (SELECT * FROM raw{name} WHERE x <> 0), n{name} AS (SELECT id, sqrt(sum(x * x)::DOUBLE) AS norm FROM nz{name} GROUP BY id),
+        emb{name} AS MATERIALIZED (SELECT id, bucket, round(x / norm, 6) AS weight FROM nz{name} JOIN n{name} USING (id))"""
 
 
-@query("rrf_fuse", f"WITH {HYB} SELECT q, id, score, rank FROM fr")
-def _(t):
-    return fused(t)
+SEM = f"""{_embedding_sql(t1("text"), 256, name="_d")}, {_embedding_sql(t1("text"), 256, "benchmark", "item_id", "_q")},
+    near AS (SELECT q.id AS q, d.id, sum(CAST(round(q.weight * 1000000) AS BIGINT) * CAST(round(d.weight * 1000000) AS BIGINT)) AS score FROM emb_q q JOIN emb_d d ON q.bucket = d.bucket GROUP BY ALL),
+    every AS (SELECT q.id AS q, d.id, coalesce(score, 0) AS score FROM (SELECT DISTINCT id FROM emb_q) q CROSS JOIN (SELECT DISTINCT id FROM emb_d) d LEFT JOIN near ON near.q = q.id AND near.id = d.id),
+    sem AS (SELECT q, id, rank FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM every) WHERE rank <= 10)"""
+HYB = f"""{BM25}, {SEM}, l AS (SELECT q, id, 1 AS list_no, rank FROM sem UNION ALL SELECT q, id, 2, rank FROM ({TOP}) WHERE rank <= 10),
+    f AS (SELECT q, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min(list_no * 1000 + rank) AS first FROM l GROUP BY q, id),
+    fr AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, first, id) AS rank FROM f)"""
 
 
-@query("hybrid_retrieve", f"WITH {HYB} SELECT q, id, score, rank FROM fr WHERE rank <= 10")
-def _(t):
-    return fused(t).where("rank <= 10")
+def semantic(t, k=10):
+    """Hash embeddings of the questions against those of all documents."""
+    of = lambda table, key: R.packed_embedding(R.sparse_embedding(t(table), key, T.words(F.col("text")), 256))
+    return R.dense_topk(of("documents", "doc_id"), of("benchmark", "item_id").withColumnRenamed("id", "q"), k, 256)
 
 
-def fused_all(t):
-    """BM25 and hash embeddings, each over all documents."""
-    e = R.sparse_embedding(t("documents"), "doc_id", T.words(F.col("text")), 256)
-    asked = R.sparse_embedding(t("benchmark"), "item_id", T.words(F.col("text")), 256).select(F.col("id").alias("q"), "bucket", F.col("weight").alias("qw"))
-    near = e.join(asked, "bucket").groupBy("q", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
-    lists = (R.ranked(s, 10).select("q", "id", F.lit(i).alias("list_no"), "rank") for i, s in enumerate((near, bm25(t)), 1))
-    return R.rrf(next(lists).unionByName(next(lists)))
+def fused(t, k=10):
+    """The semantic list and BM25, each over all documents."""
+    return R.hybrid(semantic(t, k), R.ranked(bm25(t), k), t("benchmark").select(F.col("item_id").alias("q"), "text"), k)
 
 
-query("hybrid_retrieve_all")(lambda t: fused_all(t).where("rank <= 10"))
+query("rrf_fuse", f"WITH {HYB} SELECT q, id, score, rank FROM fr")(fused)
+query("hybrid_retrieve", f"WITH {HYB} SELECT q, id, score, rank FROM fr WHERE rank <= 10")(lambda t: fused(t).where("rank <= 10"))
 
 
-@query("rerank", f"WITH {BM25} SELECT q, id, score, rank FROM ({TOP}) WHERE rank <= 3")
+@query("rerank", f"WITH {HYB} SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, rank) AS rank FROM fr WHERE rank <= 10 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, rank) <= 3")
 def _(t):
-    return R.ranked(R.ranked(bm25(t), 10).drop("rank"), 3)
+    return R.rerank(fused(t).where("rank <= 10"))
 
 
 @query(
@@ -214,20 +211,15 @@ def _(t):
     )
 
 
-def _embedding_sql(tokens: str, dims: int) -> str:
-    return f"""WITH tok AS (SELECT doc_id AS id, unnest({tokens}) AS tk FROM documents),
-        raw AS (SELECT id, CAST(('0x' || substr(md5(tk), 1, 8))::BIGINT % {dims} AS INT) AS bucket,
-                       sum(CASE WHEN ('0x' || substr(md5(tk), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS x FROM tok GROUP BY ALL),
-        nz AS (SELECT * FROM raw WHERE x <> 0), n AS (SELECT id, sqrt(sum(x * x)::DOUBLE) AS norm FROM nz GROUP BY id)
-        SELECT id, bucket, round(x / norm, 6) AS weight FROM nz JOIN n USING (id)"""
+_EMB = "SELECT id, bucket, weight FROM emb"
 
 
-@query("hash_embedding", _embedding_sql(t1("text"), 256))
+@query("hash_embedding", f"WITH {_embedding_sql(t1('text'), 256)} {_EMB}")
 def _(t):
     return R.sparse_embedding(t("documents"), "doc_id", T.words(F.col("text")), 256)
 
 
-@query("simple_embedding", _embedding_sql(t2("text"), 64))
+@query("simple_embedding", f"WITH {_embedding_sql(t2('text'), 64)} {_EMB}")
 def _(t):
     return R.sparse_embedding(t("documents"), "doc_id", T.metric_words(F.col("text")), 64)
 
