@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.functions.numbers import even
+from veritide.functions.text import long_words, overlap
 
 #: Recommended k by kind and complexity.
 K_TABLE = (
@@ -62,6 +63,26 @@ def band_score(overlap: Column, has_both: Column | None = None) -> Column:
     return out if has_both is None else F.when(has_both, out).otherwise(3)
 
 
+#: Hint words of the scoring without rubric.
+POSITIVE = ("strong", "improve", "growth", "quality", "efficient", "optimized")
+NEGATIVE = ("risk", "decline", "issue", "problem", "weak")
+
+
+def hint_score(blob: Column) -> Column:
+    """3, one more for each positive and one less for each negative hint word in a lower-cased text, within 1 to 5."""
+    has = lambda words: sum((blob.contains(w).cast("int") for w in words), F.lit(0))
+    return F.least(F.lit(5), F.greatest(F.lit(1), 3 + has(POSITIVE) - has(NEGATIVE)))
+
+
+def rubric_fallback(ideal: Column, blob: Column) -> tuple[Column, Column]:
+    """(score, confidence) without a model: overlap of the lower-cased evidence with the ideal, else hint words."""
+    text, want = F.coalesce(blob, F.lit("")), long_words(F.coalesce(ideal, F.lit("")), 3)
+    ov = overlap(want, long_words(text, 3))
+    known = (text != "") & (F.size(want) > 0)
+    sure = F.when(known, even(0.35 + F.least(F.lit(0.25), ov), 2)).otherwise(F.when(text != "", 0.4).otherwise(0.2))
+    return F.when(known, band_score(ov)).otherwise(hint_score(text)), sure
+
+
 def score5_text(rubric: Column) -> Column:
     """Text behind the first rubric line that begins with ``5:``; null if there is none."""
     lines = F.filter(F.transform(rubric, lambda s: F.trim(s)), lambda s: s.startswith("5:"))

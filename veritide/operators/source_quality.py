@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,24 +79,62 @@ NEWS = (
 REGULATORS = ("europa.eu", "gov.uk", "sec.gov", "ftc.gov", "nist.gov", "ico.org.uk", "ofcom.org.uk")
 #: Content signals of authority, in their order of precedence.
 AUTHORITY_CONTENT = (
-    ("third_party_analyst", 0.7, r"(gartner|forrester|mckinsey|bcg|deloitte|accenture|idc)\s|(magic\s+quadrant|wave\s+report|market\s+guide|hype\s+cycle)|(analyst|research\s+firm|industry\s+report|market\s+research)"),
-    ("third_party_news", 0.65, r"(according\s+to\s+(sources|reports|analysts))|(reported\s+by|press\s+release|newsroom)|(exclusive|breaking|reported\s+that)"),
-    ("regulatory", 0.75, r"(regulation|directive|act\s+20\d{2}|compliance\s+requirement)|(european\s+commission|parliament|congress|federal\s+trade)"),
+    ("third_party_analyst", 0.7, (
+        r"(gartner|forrester|mckinsey|bcg|deloitte|accenture|idc)\s",
+        r"(magic\s+quadrant|wave\s+report|market\s+guide|hype\s+cycle)",
+        r"(analyst|research\s+firm|industry\s+report|market\s+research)",
+    )),
+    ("third_party_news", 0.65, (
+        r"(according\s+to\s+(sources|reports|analysts))",
+        r"(reported\s+by|press\s+release|newsroom)",
+        r"(exclusive|breaking|reported\s+that)",
+    )),
+    ("regulatory", 0.75, (
+        r"(regulation|directive|act\s+20\d{2}|compliance\s+requirement)",
+        r"(European\s+Commission|Parliament|Congress|Federal\s+Trade)",
+    )),
 )
+#: Pairs of patterns that contradict each other: scale, growth, maturity, capability, commitment.
+CONTRADICTIONS = (
+    (
+        r"(large|extensive|significant|major|massive)\s+(team|workforce|department|investment|budget)",
+        r"(small|limited|minimal|nascent|emerging)\s+(team|workforce|department|investment|budget)",
+    ),
+    (
+        r"(growing|increasing|expanding|accelerating)\s+(revenue|adoption|usage|deployment)",
+        r"(declining|decreasing|shrinking|slowing)\s+(revenue|adoption|usage|deployment)",
+    ),
+    (
+        r"(mature|established|proven|production.grade|enterprise.ready)",
+        r"(early.stage|experimental|pilot|prototype|proof.of.concept|nascent)",
+    ),
+    (
+        r"(leading|best.in.class|state.of.the.art|advanced|sophisticated)",
+        r"(lagging|behind|catching\s+up|basic|rudimentary)",
+    ),
+    (
+        r"(committed|dedicated|priorit|strategic\s+focus|core\s+to)",
+        r"(exploring|considering|evaluating|no\s+plans|deprioritiz)",
+    ),
+)
 #: Month names and their abbreviations.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+def lowered(pattern: str) -> str:
+    """A pattern for lower-cased text: its letters in lower case, its escapes as they are."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+
+
 def tier_classify(url: Column, text: Column, title: Column | None = None, signals=None, boilerplate=BOILERPLATE) -> Column:
     """struct<tier, content_score, signals, words, boilerplate_hits> of one source; patterns are parameters."""
     signals = [p for ps in SIGNALS.values() for p in ps] if signals is None else signals
     both = F.lower(text) if title is None else F.lower(F.concat_ws(" ", title, text))
-    count = lambda c, p: F.regexp_count(c, F.lit(f"(?i){p}"))
     hits, boiler = F.lit(0), F.lit(0)
     for p in signals:
-        hits = hits + F.least(F.lit(3), count(both, p))
+        hits = hits + F.least(F.lit(3), F.regexp_count(both, F.lit(lowered(p))))
     for p in boilerplate:
-        boiler = boiler + F.when(both.rlike(f"(?i){p}"), 1).otherwise(0)
+        boiler = boiler + F.when(both.rlike(lowered(p)), 1).otherwise(0)
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     per = words / F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
     shape = F.when(per > 3, F.least(F.lit(1.0), per / 15)).otherwise(0.2)
@@ -107,15 +149,21 @@ def tier_classify(url: Column, text: Column, title: Column | None = None, signal
 
 
 def extract_claims(sources: DataFrame, id_col: str, text_col: str, keywords=CLAIM_WORDS, banned=NO_CLAIM, most: int = 30) -> DataFrame:
-    """(source_id, pos, claim): sentences of 30 to 500 characters with a keyword; the first of equal beginnings, at most ``most``."""
-    s = sources.select(F.col(id_col).alias("source_id"), F.posexplode(T.sentences(F.col(text_col))).alias("pos", "raw"))
-    s = s.withColumn("claim", F.trim(F.regexp_replace("raw", r"\s+", " ")))
-    low = F.lower("claim")
-    s = s.where(F.char_length("claim").between(30, 500) & ~low.rlike("|".join(banned)) & low.rlike("|".join(keywords)))
-    first = Window.partitionBy("source_id", F.substring(low, 1, 60)).orderBy("pos")
-    s = s.withColumn("i", F.row_number().over(first)).where("i = 1")
-    order = Window.partitionBy("source_id").orderBy("pos")
-    return s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("source_id", "pos", "claim")
+    """(source_id, pos, claim): sentences of 30 to 500 characters with a keyword; the first of equal beginnings, at most ``most``.
+
+    All of it happens inside a source's row, so nothing is shuffled.
+    """
+    has = lambda low, words: reduce(or_, [low.contains(w) for w in words])
+
+    def fit(c: Column) -> Column:
+        low = F.lower(c)
+        return F.char_length(c).between(30, 500) & ~has(low, banned) & has(low, keywords)
+
+    numbered = F.transform(T.sentences(F.col(text_col)), lambda s, i: F.struct(i.alias("pos"), F.trim(F.regexp_replace(s, r"\s+", " ")).alias("claim")))
+    rows = sources.select(F.col(id_col).alias("source_id"), F.filter(numbered, lambda x: fit(x["claim"])).alias("c"))
+    rows = rows.select("source_id", "c", F.transform("c", lambda x: F.substring(F.lower(x["claim"]), 1, 60)).alias("k"))
+    first = F.filter("c", lambda x, i: F.array_position("k", F.get("k", i)) == i + 1)
+    return rows.select("source_id", F.explode(F.slice(first, 1, most)).alias("c")).select("source_id", "c.pos", "c.claim")
 
 
 def claim_pairs(claims: DataFrame, least: float = 0.35) -> DataFrame:
@@ -186,8 +234,8 @@ def authority(url: Column, text: Column, own: str = "") -> Column:
     out = F.when((name == base) | name.endswith("." + base) if base else F.lit(False), of("first_party", 0.5, False))
     for ds, kind, score in ((ANALYSTS, "third_party_analyst", 0.9), (NEWS, "third_party_news", 0.8), (REGULATORS, "regulatory", 0.95)):
         out = out.when(inside(ds), of(kind, score, True))
-    for kind, score, pattern in AUTHORITY_CONTENT:
-        out = out.when(F.lower(text).rlike(pattern), of(kind, score, True))
+    for kind, score, patterns in AUTHORITY_CONTENT:
+        out = out.when(F.lower(text).rlike("|".join(lowered(p) for p in patterns)), of(kind, score, True))
     return out.otherwise(F.struct(F.lit("unknown").alias("kind"), F.lit(0.4).alias("score"), (name != base).alias("third")))
 
 
@@ -195,13 +243,13 @@ def authority_boost(first: Column, third: Column) -> Column:
     return F.when(first & third, 0.15).when(third, 0.105).when(first, 0.03).otherwise(0.0)
 
 
-def contradictions(sources: DataFrame, pairs) -> DataFrame:
+def contradictions(sources: DataFrame, pairs=CONTRADICTIONS) -> DataFrame:
     """(grp, a, b, claim_a, claim_b) where source a of a group matches the first and b the second pattern of a pair."""
     low = F.lower("text")
     rows = []
     for i, (pos, neg) in enumerate(pairs):
         for side, p in (("pos", pos), ("neg", neg)):
-            hit = F.regexp_extract(low, f"(?i){p}", 0)
+            hit = F.regexp_extract(low, lowered(p), 0)
             rows.append(F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"), F.substring(hit, 1, 150).alias("claim")))
     m = sources.select("grp", "source_id", F.explode(F.array(*rows)).alias("m")).where("m.claim <> ''").select("grp", "source_id", "m.*")
     x = m.where("side = 'pos'").select("grp", "p", F.col("source_id").alias("a"), F.col("claim").alias("claim_a"))

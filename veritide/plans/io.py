@@ -8,21 +8,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from veritide.operators import scopes, sinks
-from veritide.plans.base import ORACLES, QUERIES, query
+from veritide.plans.base import ORACLES, QUERIES, query, shared_folder
 from veritide.plans.rollups import PILLAR, pillars
 from veritide.sources import files
 
 
 def place(spark: SparkSession, label: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='veritide-io-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/veritide-io/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/veritide-io/{label}-{uuid.uuid4().hex}"
 
 
 @query(

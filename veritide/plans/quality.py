@@ -1,118 +1,30 @@
-"""Queries of source-quality text mining; keyword and pattern lists are parameters that fit this corpus."""
+"""Queries of source-quality text mining over whole tables, by the default word and pattern lists."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from veritide.functions.numbers import even
-from veritide.functions import text as T
 from veritide.operators import source_quality as Q
-from veritide.plans.base import query, quoted, sents, t2, t4
-from veritide.functions.text import STOP_CLAIMS
-
-SIGNALS = (r"the\s+and", r"\d+", r"tion(ed|s)\b", r"license", r"(heit|keit)")
-BOILER = (r"(license|copyright)", r"(subscribe|released)")
-KEYS, BANNED = ("tion", "keit", "mente", "license"), ("copyright", "released")
-PAIRS = ((r"(large|great|the)\s+(and|of)", r"(in|on)\s+(the|that)"), (r"license|copyright", r"\btion[a-z]+ing"))
-
+from veritide.plans.base import query
+from veritide.plans.evidence import CLAIM_SQL, LEAF, TIER_SQL
 
 @query(
     "tier_classify",
-    f"""WITH c AS (SELECT doc_id, text, concat('https://', source, '.example.com/', CASE WHEN doc_id % 7 = 0 THEN 'report' WHEN doc_id % 5 = 0 THEN 'blog' ELSE 'x' END) AS url,
-            {" + ".join(f"least(3, len(regexp_extract_all(lower(text), '(?i){p}')))" for p in SIGNALS)} AS hits,
-            {" + ".join(f"CASE WHEN regexp_matches(lower(text), '(?i){p}') THEN 1 ELSE 0 END" for p in BOILER)} AS boiler,
-            len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s FROM documents),
-        v AS (SELECT *, round_even(least(1.0::DOUBLE, least(0.5::DOUBLE, hits * 0.06::DOUBLE) + least(1.0::DOUBLE, words::DOUBLE / 800) * 0.25::DOUBLE + (CASE WHEN words::DOUBLE / s > 3 THEN least(1.0::DOUBLE, words::DOUBLE / s / 15) ELSE 0.2::DOUBLE END) * 0.15::DOUBLE
-            + CASE WHEN regexp_matches(url, '{"|".join(Q.URL_TIER1)}') THEN 0.12::DOUBLE WHEN regexp_matches(url, '{"|".join(Q.URL_TIER2)}') THEN 0.06::DOUBLE ELSE 0 END), 3) AS raw FROM c),
-        f AS (SELECT *, CASE WHEN boiler >= 2 AND length(text) < 500 THEN 0.05::DOUBLE ELSE raw END AS content_score FROM v)
-        SELECT doc_id, CASE WHEN boiler >= 2 AND length(text) < 500 THEN 3 WHEN content_score >= 0.55 THEN 1 WHEN content_score >= 0.25 THEN 2 ELSE 3 END AS tier, content_score, hits AS signals, words, boiler AS boilerplate_hits FROM f""",
+    f"WITH src AS (SELECT doc_id AS source_id, text, concat('https://', source, '.example.com/', {LEAF}) AS url FROM documents), {TIER_SQL} SELECT source_id AS doc_id, tier, content_score, signals, words, boilerplate_hits FROM tier",
 )
 def _(t):
     leaf = F.when(F.col("doc_id") % 7 == 0, "report").when(F.col("doc_id") % 5 == 0, "blog").otherwise("x")
     url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), leaf)
-    return t("documents").select("doc_id", Q.tier_classify(url, F.col("text"), None, SIGNALS, BOILER).alias("c")).select("doc_id", "c.*")
-
-
-CLAIMS = f"""s AS (SELECT doc_id AS source_id, unnest({sents('text')}) AS raw, generate_subscripts({sents('text')}, 1) - 1 AS pos FROM documents),
-    c AS (SELECT source_id, pos, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS claim FROM s),
-    k AS (SELECT *, row_number() OVER (PARTITION BY source_id, substr(lower(claim), 1, 60) ORDER BY pos) AS i FROM c WHERE length(claim) BETWEEN 30 AND 500
-          AND NOT regexp_matches(lower(claim), '{"|".join(BANNED)}') AND regexp_matches(lower(claim), '{"|".join(KEYS)}')),
-    claims AS MATERIALIZED (SELECT source_id, pos, claim FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS n FROM k WHERE i = 1) WHERE n <= 30)"""
-
-
-@query("extract_claims", f"WITH {CLAIMS} SELECT source_id, pos, claim FROM claims")
-def _(t):
-    return Q.extract_claims(t("documents"), "doc_id", "text", KEYS, BANNED)
-
-
-def grouped(t):
-    """Claims of documents in groups of 25 neighbours, as the sources of one company."""
-    return Q.extract_claims(t("documents"), "doc_id", "text", KEYS, BANNED).withColumn("grp", F.floor(F.col("source_id") / 25))
-
-
-PAIR = f"""{CLAIMS}, g AS (SELECT *, source_id // 25 AS grp FROM claims),
-    tk AS (SELECT grp, source_id, pos, w, count(*) AS c FROM (SELECT grp, source_id, pos, unnest({t2('claim', STOP_CLAIMS)}) AS w FROM g) GROUP BY ALL),
-    sz AS (SELECT source_id, pos, sum(c) AS n FROM tk GROUP BY ALL),
-    tn AS MATERIALIZED (SELECT tk.*, n FROM tk JOIN sz ON tk.source_id = sz.source_id AND tk.pos = sz.pos),
-    ov AS (SELECT x.grp, x.source_id AS a, x.pos AS pa, y.source_id AS b, y.pos AS pb, x.n AS na, y.n AS nb, sum(least(x.c, y.c)) AS s
-           FROM tn x JOIN tn y ON x.grp = y.grp AND x.w = y.w AND x.source_id < y.source_id GROUP BY ALL),
-    p AS MATERIALIZED (SELECT ov.grp, a, b, pa, pb, CAST(round(least(1.0::DOUBLE, s::DOUBLE / (na + nb - s) + least(0.15::DOUBLE, 0.05::DOUBLE * len(list_intersect(
-           list_distinct(regexp_extract_all(u.claim, '\\d+\\.?\\d*')), list_distinct(regexp_extract_all(v.claim, '\\d+\\.?\\d*')))))), 6) AS DOUBLE) AS sim
-           FROM ov JOIN g u ON u.source_id = a AND u.pos = pa JOIN g v ON v.source_id = b AND v.pos = pb)"""
-
-query("claim_similarity", f"WITH {PAIR} SELECT grp, a, b, pa, pb, sim FROM p WHERE sim >= 0.2")(lambda t: Q.claim_pairs(grouped(t), 0.2))
-query("claim_pair_join", f"WITH {PAIR} SELECT grp, a, b, pa, pb, sim FROM p WHERE sim >= 0.35")(lambda t: Q.claim_pairs(grouped(t)))
+    return t("documents").select("doc_id", Q.tier_classify(url, F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 @query(
-    "semantic_corroboration",
-    f"""WITH {PAIR}, q AS (SELECT * FROM p WHERE sim >= 0.35), n AS (SELECT doc_id // 25 AS grp, count(*) AS n FROM documents GROUP BY 1),
-        kk AS (SELECT grp, count(*) AS k FROM q GROUP BY grp), m AS (SELECT grp, count(DISTINCT s) AS m FROM (SELECT grp, a AS s FROM q UNION ALL SELECT grp, b FROM q) GROUP BY grp)
-        SELECT n.grp, n.n AS sources, coalesce(k, 0) AS pairs, CASE WHEN n.n < 2 THEN 0::DOUBLE WHEN coalesce(k, 0) = 0 THEN round_even(least(0.3::DOUBLE, 0.1::DOUBLE * n.n), 2)
-          ELSE round_even(least(0.5::DOUBLE, 0.08::DOUBLE * k) + least(0.5::DOUBLE, 0.12::DOUBLE * m), 2) END AS score FROM n LEFT JOIN kk ON kk.grp = n.grp LEFT JOIN m ON m.grp = n.grp""",
+    "extract_claims",
+    f"WITH src AS (SELECT doc_id AS source_id, text FROM documents), ev AS (SELECT 0 AS grp, source_id FROM src), {CLAIM_SQL} SELECT source_id, pos, claim FROM g",
 )
 def _(t):
-    p = Q.claim_pairs(grouped(t))
-    k = p.select("grp", F.explode(F.array("a", "b")).alias("s")).groupBy("grp").agg(F.countDistinct("s").alias("m"), (F.count("*") / 2).cast("long").alias("k"))
-    n = t("documents").groupBy(F.floor(F.col("doc_id") / 25).alias("grp")).agg(F.count("*").alias("sources")).join(k, "grp", "left")
-    pairs = F.coalesce("k", F.lit(0))
-    return n.select("grp", "sources", pairs.alias("pairs"), Q.corroboration(F.col("sources"), pairs, F.coalesce("m", F.lit(0))).alias("score"))
-
-
-KEYWORDS = r"""list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND w NOT IN (STOPS)),
-    lambda w: regexp_replace(w, '^[.,!?:;"''()\[\]{}]+|[.,!?:;"''()\[\]{}]+$', '', 'g')))""".replace("STOPS", quoted(T.STOP_KEYWORDS))
-KW = f"""w AS (SELECT doc_id // 25 AS grp, doc_id, unnest({KEYWORDS}) AS w FROM documents),
-    o AS (SELECT grp, w, count(DISTINCT doc_id) AS n FROM w GROUP BY grp, w HAVING count(DISTINCT doc_id) >= 3)"""
-
-
-def shared_keywords(t):
-    w = t("documents").select(F.floor(F.col("doc_id") / 25).alias("grp"), "doc_id", F.explode(T.keywords(F.col("text"))).alias("w"))
-    return w.groupBy("grp", "w").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3")
-
-
-query("keyword_overlap", f"WITH {KW} SELECT grp, w, n FROM o")(shared_keywords)
-
-
-@query(
-    "corroboration_v1",
-    f"""WITH {KW}, s AS (SELECT doc_id // 25 AS grp, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT grp, count(*) AS k FROM o GROUP BY grp)
-        SELECT s.grp, CASE WHEN s.n < 3 THEN 0::DOUBLE ELSE least(1::DOUBLE, round_even(least(0.5::DOUBLE, 0.15::DOUBLE + 0.1::DOUBLE * s.n) + least(0.5::DOUBLE, 0.1::DOUBLE * coalesce(k, 0)), 2)) END AS score FROM s LEFT JOIN k ON k.grp = s.grp""",
-)
-def _(t):
-    k = shared_keywords(t).groupBy("grp").agg(F.count("*").alias("k"))
-    s = t("documents").groupBy(F.floor(F.col("doc_id") / 25).alias("grp")).agg(F.count("*").alias("n")).join(k, "grp", "left")
-    score = even(F.least(F.lit(0.5), 0.15 + 0.1 * F.col("n")) + F.least(F.lit(0.5), 0.1 * F.coalesce("k", F.lit(0))), 2)
-    return s.select("grp", F.when(F.col("n") < 3, 0.0).otherwise(F.least(F.lit(1.0), score)).alias("score"))
-
-
-@query(
-    "corroboration_details",
-    f"WITH {KW} SELECT grp, count(*) AS shared, list(w ORDER BY n DESC, w)[1:10] AS first, count(*) >= 30 AS strong FROM o GROUP BY grp",
-)
-def _(t):
-    one = F.struct((-F.col("n")).alias("k"), "w")
-    l = F.sort_array(F.collect_list(one))
-    return shared_keywords(t).groupBy("grp").agg(F.count("*").alias("shared"), F.slice(l["w"], 1, 10).alias("first"), (F.count("*") >= 30).alias("strong"))
+    return Q.extract_claims(t("documents"), "doc_id", "text")
 
 
 DATED = "d AS (SELECT o_orderkey, concat('seen ', strftime(o_orderdate, '%-d %B %Y'), ' and ', strftime(o_orderdate, '%Y-%m-%d'), ', 2025-02-30') AS text, o_orderdate FROM orders)"
@@ -146,9 +58,10 @@ query(
 )(lambda t: fresh(t).groupBy("o_custkey").agg(F.round(F.avg("f"), 9).alias("a")).select("o_custkey", Q.freshness_boost(F.col("a")).alias("boost")))
 
 HOSTED = "concat('https://', CASE doc_id % 6 WHEN 0 THEN 'www.example.com' WHEN 1 THEN 'news.reuters.com' WHEN 2 THEN 'gartner.com' WHEN 3 THEN 'eur.europa.eu' ELSE source || '.net' END, '/x')"
+CONTENT = ["(?i)" + "|".join(p) for _, _, p in Q.AUTHORITY_CONTENT]
 AUTH = f"""h AS (SELECT doc_id, text, replace(lower(regexp_extract({HOSTED}, '^[^:]*://([^/?#]*)', 1)), 'www.', '') AS host FROM documents),
     a AS (SELECT doc_id, host, CASE WHEN host = 'example.com' THEN 'first_party' WHEN host LIKE '%gartner.com' OR host LIKE '%forrester.com' THEN 'third_party_analyst' WHEN host LIKE '%reuters.com' THEN 'third_party_news' WHEN host LIKE '%europa.eu' THEN 'regulatory'
-      WHEN regexp_matches(lower(text), '{Q.AUTHORITY_CONTENT[0][2]}') THEN 'third_party_analyst ' WHEN regexp_matches(lower(text), '{Q.AUTHORITY_CONTENT[1][2]}') THEN 'third_party_news ' WHEN regexp_matches(lower(text), '{Q.AUTHORITY_CONTENT[2][2]}') THEN 'regulatory ' ELSE 'unknown' END AS k FROM h)"""
+      WHEN regexp_matches(lower(text), '{CONTENT[0]}') THEN 'third_party_analyst ' WHEN regexp_matches(lower(text), '{CONTENT[1]}') THEN 'third_party_news ' WHEN regexp_matches(lower(text), '{CONTENT[2]}') THEN 'regulatory ' ELSE 'unknown' END AS k FROM h)"""
 
 
 def authorities(t):
@@ -169,50 +82,6 @@ query(
     .select("grp", Q.authority_boost(F.col("f"), F.col("th")).alias("boost"))
 )
 
-CONTRA = (
-    "m AS ("
-    + " UNION ALL ".join(
-        f"SELECT doc_id // 25 AS grp, doc_id AS s, {i} AS p, '{side}' AS side, substr(regexp_extract(lower(text), '(?i){pat}', 0), 1, 150) AS claim FROM documents WHERE regexp_matches(lower(text), '(?i){pat}')"
-        for i, pair in enumerate(PAIRS)
-        for side, pat in zip(("pos", "neg"), pair, strict=True)
-    )
-    + "), x AS (SELECT x.grp, x.s AS a, y.s AS b, x.p, x.claim AS claim_a, y.claim AS claim_b FROM m x JOIN m y ON x.grp = y.grp AND x.p = y.p AND x.side = 'pos' AND y.side = 'neg' AND x.s <> y.s),"
-    " c AS (SELECT grp, a, b, claim_a, claim_b FROM (SELECT *, row_number() OVER (PARTITION BY grp, a, b, substr(claim_a, 1, 50) ORDER BY p, claim_a, claim_b) AS i FROM x) WHERE i = 1)"
-)
-
-
-def contra(t):
-    return Q.contradictions(t("documents").select(F.floor(F.col("doc_id") / 25).alias("grp"), F.col("doc_id").alias("source_id"), "text"), PAIRS)
-
-
-query("contradictions", f"WITH {CONTRA} SELECT * FROM c")(contra)
-query("contradiction_penalty", f"WITH {CONTRA} SELECT grp, count(*) AS n, round_even(-least(0.2::DOUBLE, 0.07::DOUBLE * count(*)), 3) AS penalty FROM c GROUP BY grp")(
-    lambda t: contra(t).groupBy("grp").agg(F.count("*").alias("n"), even(-F.least(F.lit(0.2), 0.07 * F.count("*")), 3).alias("penalty"))
-)
-
-OVER = f"""w AS (SELECT doc_id // 25 AS grp, doc_id AS s, {t4('text')} AS w FROM documents), k AS (SELECT grp, s, len(w) AS n, unnest(w) AS t FROM w),
-    o AS (SELECT x.grp, x.s AS a, y.s AS b, round(count(*)::DOUBLE / (x.n + y.n - count(*)), 6) AS jaccard FROM k x JOIN k y ON x.grp = y.grp AND x.t = y.t AND x.s < y.s GROUP BY x.grp, x.s, y.s, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) >= 0.75)"""
-
-
-def overlaps(t):
-    return Q.token_overlap(t("documents").select(F.floor(F.col("doc_id") / 25).alias("grp"), F.col("doc_id").alias("source_id"), "text"))
-
-
-query("token_overlap_join", f"WITH {OVER} SELECT * FROM o")(overlaps)
-
-
-@query(
-    "source_independence",
-    f"""WITH {OVER}, n AS (SELECT doc_id // 25 AS grp, count(*) AS n FROM documents GROUP BY 1), d AS (SELECT grp, count(DISTINCT s) AS d FROM (SELECT grp, a AS s FROM o UNION ALL SELECT grp, b FROM o) GROUP BY grp)
-        SELECT n.grp, round_even(1 - coalesce(d, 0)::DOUBLE / n, 3) AS independence, round_even(-least(0.15::DOUBLE, 0.15::DOUBLE * coalesce(d, 0) / n), 3) AS penalty FROM n LEFT JOIN d ON n.grp = d.grp""",
-)
-def _(t):
-    d = overlaps(t).select("grp", F.explode(F.array("a", "b")).alias("s")).groupBy("grp").agg(F.countDistinct("s").alias("d"))
-    n = t("documents").groupBy(F.floor(F.col("doc_id") / 25).alias("grp")).agg(F.count("*").alias("n")).join(d, "grp", "left")
-    share = F.coalesce("d", F.lit(0)) / F.col("n")
-    return n.select("grp", even(1 - share, 3).alias("independence"), even(-F.least(F.lit(0.15), 0.15 * share), 3).alias("penalty"))
-
-
 @query("token_overlap_all")
 def _(t):
     return Q.token_links(t("documents").select(F.col("doc_id").alias("source_id"), "text"))
@@ -243,9 +112,3 @@ def _(t):
     return f.select("company", "run_no", "kpi_id", F.round(F.when(F.col("frac") > 0.5, -F.least(F.lit(0.1), F.col("frac") * 0.1)).otherwise(0.0), 6).alias("penalty"))
 
 
-query(
-    "evidence_quality",
-    "SELECT company, run_no, kpi_id, round_even(confidence * 0.15::DOUBLE + 0.1::DOUBLE * (n % 2) + 0.03::DOUBLE - least(0.2::DOUBLE, 0.07::DOUBLE * (n % 3)), 3) AS adjustment FROM kr",
-)(
-    lambda t: t("kr").select("company", "run_no", "kpi_id", even(F.col("confidence") * 0.15 + 0.1 * (F.col("n") % 2) + 0.03 - F.least(F.lit(0.2), 0.07 * (F.col("n") % 3)), 3).alias("adjustment"))
-)

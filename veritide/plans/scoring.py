@@ -11,16 +11,13 @@ from veritide.operators import scoring as S
 from veritide.plans.base import query, t56
 
 RUB = "list_value('1: none', ' 5: ' || b.text || ' ', '3: some')"
-#: Hint words of the scoring without rubric.
-POSITIVE = ("strong", "improve", "growth", "quality", "efficient", "optimized")
-NEGATIVE = ("risk", "decline", "issue", "problem", "weak")
-PAIR = "documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"
+PAIR = "documents d LEFT JOIN items b ON b.r = d.doc_id % b.n"
 
 
 def paired(t):
     """Documents with the rubric made of a benchmark item."""
-    b = t("benchmark").select("item_id", F.array(F.lit("1: none"), F.concat(F.lit(" 5: "), "text", F.lit(" ")), F.lit("3: some")).alias("rubric"))
-    return t("documents").join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    b = t("items").select("r", "n", F.array(F.lit("1: none"), F.concat(F.lit(" 5: "), "text", F.lit(" ")), F.lit("3: some")).alias("rubric"))
+    return t("documents").join(b, F.col("r") == F.col("doc_id") % F.col("n"), "left")
 
 
 query("score5_text", f"SELECT d.doc_id, trim(substr(list_filter(list_transform({RUB}, lambda s: trim(s)), lambda s: starts_with(s, '5:'))[1], 3)) AS ideal FROM {PAIR}")(
@@ -47,13 +44,8 @@ def _(t):
 
 query(
     "hint_score",
-    "SELECT doc_id, least(5, greatest(1, 3 " + "".join(f" + CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in POSITIVE) + "".join(f" - CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in NEGATIVE) + ")) AS score FROM documents",
-)(
-    lambda t: t("documents").select(
-        "doc_id",
-        F.least(F.lit(5), F.greatest(F.lit(1), sum((F.lower("text").contains(w).cast("int") for w in POSITIVE), F.lit(3)) - sum((F.lower("text").contains(w).cast("int") for w in NEGATIVE), F.lit(0)))).alias("score"),
-    )
-)
+    "SELECT doc_id, least(5, greatest(1, 3 " + "".join(f" + CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in S.POSITIVE) + "".join(f" - CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in S.NEGATIVE) + ")) AS score FROM documents",
+)(lambda t: t("documents").select("doc_id", S.hint_score(F.lower("text")).alias("score")))
 MENTIONS = ("tion", "ti", "the", "keit")
 _COUNT = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in MENTIONS)
 query("count_mentions", f"SELECT doc_id, {_COUNT} AS n FROM documents")(lambda t: t("documents").select("doc_id", S.count_mentions(F.col("text"), MENTIONS).alias("n")))
@@ -87,26 +79,6 @@ def evidence(t):
     return t("kr").join(a, keys).withColumn("corr", (F.col("n") % 5) / 5.0)
 
 
-@query(
-    "enhanced_confidence",
-    f"""WITH {AGG} SELECT company, run_no, kpi_id, round_even(greatest(0, least(1, confidence + tb + greatest(0, corr * 0.15::DOUBLE - 0.05::DOUBLE) + 0.02::DOUBLE + 0.03::DOUBLE - 0.07::DOUBLE + CASE WHEN sources >= 3 THEN 0.05::DOUBLE ELSE 0 END
-        - CASE WHEN NOT cited AND confidence > 0.3 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN chunks < 3 THEN 0.2::DOUBLE ELSE 0 END)), 2) AS confidence FROM r""",
-)
-def _(t):
-    c = F.col
-    out = S.enhanced_confidence(c("confidence"), c("tb"), c("corr"), F.lit(-0.05), F.lit(0.02), F.lit(0.03), F.lit(-0.07), c("sources"), c("cited"), c("chunks"))
-    return evidence(t).select("company", "run_no", "kpi_id", out.alias("confidence"))
-
-
-query("confidence_reconstruct", f"WITH {AGG} SELECT company, run_no, kpi_id, round_even(confidence - tb - corr * 0.15::DOUBLE, 4) AS base FROM r")(
-    lambda t: evidence(t).select("company", "run_no", "kpi_id", even(F.col("confidence") - F.col("tb") - F.col("corr") * 0.15, 4).alias("base"))
-)
-query("impact_table", f"WITH {AGG} SELECT company, run_no, kpi_id, round(corr * 0.15::DOUBLE, 6) AS corroboration, tb AS tier, sources, confidence FROM r")(
-    lambda t: evidence(t).select("company", "run_no", "kpi_id", F.round(F.col("corr") * 0.15, 6).alias("corroboration"), F.col("tb").alias("tier"), "sources", "confidence")
-)
-query("rubric_kpi", f"WITH {AGG} SELECT company, run_no, kpi_id, CASE WHEN chunks < 2 THEN 1 ELSE CAST(floor(corr * 4) AS INT) + 1 END AS score, CASE WHEN chunks < 2 THEN 0.2 ELSE confidence END::DOUBLE AS confidence FROM r")(
-    lambda t: evidence(t).select("company", "run_no", "kpi_id", F.when(F.col("chunks") < 2, 1).otherwise(F.floor(F.col("corr") * 4).cast("int") + 1).alias("score"), F.when(F.col("chunks") < 2, 0.2).otherwise(F.col("confidence")).alias("confidence"))
-)
 query("prompt_hash", "SELECT d.doc_id, sha256(d.lang || chr(0) || d.text) AS h FROM documents d")(lambda t: t("documents").select("doc_id", F.sha2(F.concat("lang", F.char(F.lit(0)), "text"), 256).alias("h")))
 query("prompt_build", "SELECT item_id, concat_ws(chr(10), 'Question: ' || text, 'Levels: 1-5', 'Answer in JSON.') AS prompt FROM benchmark")(
     lambda t: t("benchmark").select("item_id", F.concat_ws("\n", F.concat(F.lit("Question: "), "text"), F.lit("Levels: 1-5"), F.lit("Answer in JSON.")).alias("prompt"))
