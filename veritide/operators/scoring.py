@@ -139,3 +139,30 @@ def verbal(metric: str, value: Column) -> Column:
     for at, text in (VERBAL if high else VERBAL_LOW)[metric]:
         out = out.otherwise(text) if at is None else out.when(value >= at if high else value <= at, text)
     return out
+
+
+#: The texts of the scoring prompt; its hash identifies a run, so they are kept to the letter.
+SYSTEM = "You are a strict JSON generator."
+ASK = (
+    "You are a Business Analyst. Your task is to audit the following context using \n"
+    "the KPI Drivers.\n"
+    "Score the KPI from 1-5 using the rubric and evidence.\n"
+    'Return strict JSON: {"kpi_id": "...", "score": 1-5, "confidence": 0-1, "rationale": "...", '
+    '"citations": [{"source_id": "...", "url": "...", "quote": "..."}]}.\n'
+    "Citations must include source_id, url, quote.\n\n"
+)
+IDEAL = ('\nIdeal (5 = High): "', '"\nScore how close the evidence supports this level (1 = not at all, 5 = fully).\n')
+
+
+def rubric_prompt(name: Column, question: Column, rubric: Column, evidence: Column) -> Column:
+    """The user prompt of a KPI: its question, its rubric's lines, its ideal, and its evidence block."""
+    ideal = score5_text(rubric)
+    line = F.coalesce(F.concat(F.lit(IDEAL[0]), F.nullif(ideal, F.lit("")), F.lit(IDEAL[1])), F.lit(""))
+    return F.concat(
+        F.lit(ASK), F.lit("KPI: "), name, F.lit("\nQuestion: "), question, F.lit("\nRubric:\n"), F.array_join(rubric, "\n"), F.lit("\n"),
+        line, F.lit("Evidence:\n"), F.coalesce(evidence, F.lit("")), F.lit("\n"),
+    )
+
+
+def prompt_hash(system: Column, user: Column) -> Column:
+    return F.sha2(F.concat(system, F.char(F.lit(0)), user), 256)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +26,49 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_yaml(df: DataFrame, path: str, name_col: str) -> None:
+    """Write each row as a YAML file ``report_<name>.yaml``, its columns as keys in their order, nested ones too.
+
+    Every task writes its own rows, each file under a name of its own first, so that a task that runs twice
+    leaves one whole file.
+    """
+    import pyarrow as pa
+
+    rows = df.select(F.col(name_col).cast("string").alias("_name"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_body"))
+
+    def run(batches):
+        import json
+
+        import yaml
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            names = b.column(0).to_pylist()
+            for name, body in zip(names, b.column(1).to_pylist(), strict=True):
+                part = f"{root}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(yaml.safe_dump(json.loads(body), sort_keys=False, allow_unicode=True).encode())
+                store.move(part, f"{root}/report_{name}.yaml")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    rows.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def trace_events(rows: DataFrame, trace: str, time: Column, scores: list[str] = (), events: dict[str, Column] | None = None, spans: list[str] = ()) -> DataFrame:
+    """(trace, kind, name, value, at): long rows of a trace store: each trace's scores, spans and the events that happened.
+
+    scores: numeric columns; spans: columns whose text is logged; events: name -> condition.  Nulls log nothing.
+    """
+    one = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    parts = [one("score", c, F.col(c).cast("double")) for c in scores] + [one("span", c, F.col(c)) for c in spans]
+    parts += [one("event", name, F.when(cond, "true")) for name, cond in (events or {}).items()]
+    if not parts:
+        raise ValueError("nothing to trace: name scores, spans or events")
+    return rows.select(F.col(trace).alias("trace"), time.alias("at"), F.explode(F.array(*parts)).alias("x")).select("trace", "x.*", "at").where("value IS NOT NULL")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keyed state after an update: rows of ``new`` win over rows of ``old`` with the same keys."""
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))

@@ -257,3 +257,25 @@ query("impact_table", f"{_FIN} SELECT grp, round(corroboration * 0.15::DOUBLE, 6
 query("confidence_reconstruct", f"{_FIN} SELECT grp, round_even(confidence - tier - corroboration * 0.15::DOUBLE - CASE WHEN u >= 3 THEN 0.05::DOUBLE ELSE 0 END, 4) AS base FROM fin")(
     lambda t: scored(t).select("grp", even(F.col("confidence") - F.col("tier") - F.col("corroboration") * 0.15 - F.when(F.col("sources") >= 3, 0.05).otherwise(0.0), 4).alias("base"))
 )
+
+
+_Q = lambda text: "'" + text.replace("'", "''") + "'"
+PROMPT_SQL = f"""blk AS (SELECT grp, string_agg('- [' || source_id || '] ' || url || ': ' || substr(text, 1, 1000), chr(10) ORDER BY rank) AS block FROM ev GROUP BY grp),
+    prompts AS (SELECT item_id AS grp, concat({_Q(S.ASK)}, 'KPI: item ', item_id, chr(10), 'Question: ', text, chr(10), 'Rubric:', chr(10), '1: none', chr(10), '5: ', text, chr(10),
+        {_Q(S.IDEAL[0])}, trim(text), {_Q(S.IDEAL[1])}, 'Evidence:', chr(10), block, chr(10)) AS prompt FROM benchmark JOIN blk ON blk.grp = item_id)"""
+
+
+def prompts(t):
+    """(grp, prompt) over each question's three best documents."""
+    line = F.concat(F.lit("- ["), F.col("source_id").cast("string"), F.lit("] "), "url", F.lit(": "), F.substring("text", 1, 1000))
+    lines = F.sort_array(F.collect_list(F.struct("rank", line.alias("l"))))
+    block = evidence(t, 3).groupBy("grp").agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("block"))
+    b = t("benchmark").join(block, F.col("item_id") == F.col("grp"))
+    rubric = F.array(F.lit("1: none"), F.concat(F.lit("5: "), "text"))
+    return b.select("grp", S.rubric_prompt(F.concat(F.lit("item "), F.col("item_id").cast("string")), F.col("text"), rubric, F.col("block")).alias("prompt"))
+
+
+query("prompt_build", f"WITH {ev_sql(3)}, {PROMPT_SQL} SELECT grp, prompt FROM prompts")(prompts)
+query("prompt_hash", f"WITH {ev_sql(3)}, {PROMPT_SQL} SELECT grp, sha256({_Q(S.SYSTEM)} || chr(0) || prompt) AS h FROM prompts")(
+    lambda t: prompts(t).select("grp", S.prompt_hash(F.lit(S.SYSTEM), F.col("prompt")).alias("h"))
+)

@@ -147,12 +147,52 @@ query("resolve_run_id", "SELECT event_id, regexp_replace(md5(CAST(event_id AS VA
 )
 
 
-@query(
+RUN_LIKE = "(SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1)"
+
+
+def one_run(t, keyed: bool):
+    """The scores and sources of the order with the smallest key, looked up by its key or by a request id."""
+    o, li, c = t("orders"), t("lineitem"), t("customer")
+    first = o.orderBy("o_orderkey").first().o_orderkey
+    runs = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("req-"), F.col("o_orderkey").cast("string")).alias("request_id"), F.col("o_custkey").alias("company_id"))
+    scores = li.select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("kpi_"), F.col("l_partkey").cast("string")).alias("kpi_id"), F.round("l_extendedprice", 2).alias("score"))
+    sources = li.select(F.concat(F.lit("req-"), F.col("l_orderkey").cast("string")).alias("request_id"), F.col("l_suppkey").alias("source_id"))
+    companies = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return files.load_run(runs, scores, sources, companies, f"req-{first}" if keyed else str(first))
+
+
+query(
     "scan_postgres_run",
-    "SELECT o_orderkey AS source_id, c_name AS company, round(sum(l_extendedprice), 2) AS score, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE lower(c_mktsegment) = 'building' GROUP BY 1, 2",
-)
+    f"SELECT 'kpi_' || l_partkey AS kpi_id, round(l_extendedprice, 2) AS score, c_name AS company FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_orderkey = {RUN_LIKE}",
+)(lambda t: one_run(t, False)[0].select("kpi_id", "score", "company"))
+query(
+    "scan_postgres_sources",
+    f"SELECT l_suppkey AS source_id, c_name AS company FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_orderkey = {RUN_LIKE}",
+)(lambda t: one_run(t, True)[1].select("source_id", "company"))
+
+REPORTS = "SELECT concat(company, '-', run_no) AS run_id, concat('2024-01-0', run_no + 1) AS timestamp, CAST(company AS VARCHAR) AS company, round(avg(score), 6) AS overall_score FROM kr GROUP BY kr.company, kr.run_no"
+
+
+@query("scan_report_yaml", f"SELECT *, row_number() OVER (ORDER BY timestamp DESC, run_id DESC) AS rank FROM ({REPORTS})")
 def _(t):
-    c = t("customer").where("lower(c_mktsegment) = 'building'")
-    o = t("orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    li = t("lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("score"), F.count("*").alias("n"))
-    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("source_id"), F.col("c_name").alias("company"), "score", "n")
+    text = lambda c: F.col(c).cast("string")
+    k = t("kr").groupBy("company", "run_no").agg(F.round(F.avg("score"), 6).alias("overall_score"), F.sort_array(F.collect_list(F.struct("kpi_id", "score"))).alias("kpis"))
+    reports = k.select(
+        F.concat_ws("-", text("company"), text("run_no")).alias("run_id"), F.concat(F.lit("2024-01-0"), (F.col("run_no") + 1).cast("string")).alias("timestamp"),
+        text("company").alias("company"), "overall_score", "kpis",
+    )
+    path = place(k.sparkSession, "yaml")
+    sinks.write_yaml(reports, path, "run_id")
+    return files.scan_reports(k.sparkSession, path).drop("file")
+
+
+query(
+    "sink_trace",
+    """SELECT concat(company, ':', run_no, ':', kpi_id) AS trace, x.k AS kind, x.n AS name, x.v AS value, first_event AS at FROM (SELECT *, unnest([{'k': 'score', 'n': 'confidence', 'v': CAST(CAST(confidence AS DOUBLE) AS VARCHAR)},
+       {'k': 'span', 'n': 'pillar', 'v': pillar}, {'k': 'event', 'n': 'low_confidence', 'v': CASE WHEN confidence < 0.3 THEN 'true' END}]) AS x FROM kr) WHERE x.v IS NOT NULL""",
+)(
+    lambda t: sinks.trace_events(
+        t("kr").withColumn("trace", F.concat_ws(":", F.col("company").cast("string"), F.col("run_no").cast("string"), "kpi_id")),
+        "trace", F.col("first_event"), ["confidence"], {"low_confidence": F.col("confidence") < 0.3}, ["pillar"],
+    )
+)

@@ -79,10 +79,6 @@ def evidence(t):
     return t("kr").join(a, keys).withColumn("corr", (F.col("n") % 5) / 5.0)
 
 
-query("prompt_hash", "SELECT d.doc_id, sha256(d.lang || chr(0) || d.text) AS h FROM documents d")(lambda t: t("documents").select("doc_id", F.sha2(F.concat("lang", F.char(F.lit(0)), "text"), 256).alias("h")))
-query("prompt_build", "SELECT item_id, concat_ws(chr(10), 'Question: ' || text, 'Levels: 1-5', 'Answer in JSON.') AS prompt FROM benchmark")(
-    lambda t: t("benchmark").select("item_id", F.concat_ws("\n", F.concat(F.lit("Question: "), "text"), F.lit("Levels: 1-5"), F.lit("Answer in JSON.")).alias("prompt"))
-)
 query("score_split", "SELECT company, kpi_id, round_even(avg(score) FILTER (WHERE run_no < 2), 4) AS baseline, round_even(avg(score) FILTER (WHERE run_no >= 2), 4) AS live, round_even(avg(score) FILTER (WHERE run_no >= 2) - avg(score) FILTER (WHERE run_no < 2), 4) AS delta FROM kr GROUP BY 1, 2")(
     lambda t: t("kr").groupBy("company", "kpi_id").agg(F.avg(F.when(F.col("run_no") < 2, F.col("score"))).alias("b"), F.avg(F.when(F.col("run_no") >= 2, F.col("score"))).alias("l"))
     .select("company", "kpi_id", even("b", 4).alias("baseline"), even("l", 4).alias("live"), even(F.col("l") - F.col("b"), 4).alias("delta"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,145 @@ def pick_column(df: DataFrame, *candidates: str) -> Column:
 def newest_first(df: DataFrame, by: str, order: str, tie: str) -> DataFrame:
     """``df`` with rank 1 for the newest row of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), tie)))
+
+
+KPI = "kpi_id string, name string, pillar string, type string, question string, rubric array<string>, keywords array<string>, thresholds array<double>"
+REPORT = "run_id string, timestamp string, company string, overall_score double"
+
+
+def _yaml(spark: SparkSession, path: str) -> DataFrame:
+    from veritide.sources.yaml_source import YamlSource
+
+    spark.dataSource.register(YamlSource)
+    return spark.read.format("yaml_docs").load(path)
+
+
+def scan_kpi_yaml(spark: SparkSession, path: str, schema: str = KPI) -> DataFrame:
+    """One row for each KPI of a YAML catalog (a list of mappings); an empty catalog gives none."""
+    body = F.from_json("body", f"array<struct<{', '.join(f'{n}:{k}' for n, k in (c.strip().split(' ', 1) for c in _columns(schema)))}>>")
+    return _yaml(spark, path).select(F.explode(body).alias("k")).select("k.*")
+
+
+def _columns(schema: str) -> list[str]:
+    """The columns of a DDL string, which are split at the commas outside of angle brackets."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def kpi_catalog(from_csv: DataFrame | None, from_yaml: DataFrame | None) -> DataFrame | None:
+    """The CSV catalog if it has rows, else the YAML catalog."""
+    return from_csv if from_csv is not None and not from_csv.isEmpty() else from_yaml
+
+
+def scan_reports(spark: SparkSession, path: str, schema: str = REPORT) -> DataFrame:
+    """(file, the schema's columns, rank) of all report YAML files, rank 1 the newest by timestamp, then run id.
+
+    The rank is over all reports of a folder, which one person's dashboards list.
+    """
+    rows = _yaml(spark, path).select("file", F.from_json("body", schema).alias("r")).select("file", "r.*")
+    w = Window.orderBy(F.coalesce("timestamp", F.lit("")).desc(), F.coalesce("run_id", F.lit("")).desc())
+    return rows.withColumn("rank", F.row_number().over(w))
+
+
+def urls_from_export(spark: SparkSession, path: str, company: str, cap: int | None = None) -> DataFrame:
+    """(pos, url) of the first export file in name order whose name begins with the company's; empty where none does.
+
+    Files are called ``<company>..._sources_export.json`` and hold a JSON array.
+    """
+    first = min((p for p in _names(spark, path) if p.endswith(EXPORT_END) and p.startswith(company)), default=None)
+    if first is None:
+        return spark.createDataFrame([], "pos int, url string")
+    one = spark.read.text(f"{path.rstrip('/')}/{first}", wholetext=True).select(F.from_json("value", "array<struct<url:string>>").alias("a"))
+    rows = one.select(F.posexplode("a").alias("at", "x")).where("x.url <> ''").select(F.col("at").alias("pos"), "x.url")
+    return rows.orderBy("pos").limit(cap) if cap else rows
+
+
+EXPORT_END = "_sources_export.json"
+
+
+def _names(spark: SparkSession, path: str, folders: bool = False) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(s.getPath().getName() for s in found if s.isDirectory() == folders)
+
+
+def company_folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders below ``root`` that hold an export file, in order."""
+    return [d for d in _names(spark, root, True) if any(n.endswith(EXPORT_END) for n in _names(spark, f"{root.rstrip('/')}/{d}"))]
+
+
+def scan_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header, every column as text."""
+    return spark.read.csv(path, header=True, inferSchema=False)
+
+
+def golden_source(source: str | None, from_db: DataFrame, from_yaml: DataFrame, merge) -> DataFrame:
+    """Golden rows of the source named db, yaml or both (``merge`` of yaml and db); any other name is db."""
+    name = (source or "db").strip().lower()
+    if name == "both":
+        return merge(from_yaml, from_db)
+    return from_yaml if name == "yaml" else from_db
+
+
+@dataclass(frozen=True)
+class Flags:
+    """What may be switched by the environment: names are the fields' in upper case behind a prefix."""
+
+    n_scoring_runs: int = 5
+    scoring_temperature: float = 0.7
+    bertscore_enabled: bool = True
+    cot_eval_enabled: bool = True
+
+
+def feature_flags(env: dict[str, str], prefix: str = "VERITIDE_") -> Flags:
+    """Flags from environment variables; values that are no numbers are ignored."""
+
+    def number(name, kind, default):
+        try:
+            return kind(env[prefix + name]) if env.get(prefix + name) else default
+        except ValueError:
+            return default
+
+    off = lambda name: env.get(prefix + name, "").lower() in ("1", "true")
+    return Flags(
+        number("N_SCORING_RUNS", int, 5), number("SCORING_TEMPERATURE", float, 0.7),
+        not off("BERTSCORE_DISABLED"), not off("COT_EVAL_DISABLED"),
+    )
+
+
+def load_run(runs: DataFrame, scores: DataFrame, sources: DataFrame, companies: DataFrame, wanted: str, keys=("request_id", "run_uuid", "external_run_id", "pipeline_run_id")) -> tuple[DataFrame, DataFrame] | None:
+    """(scores, sources) of one run of a result store whose link columns are only known at run time, with the company's name.
+
+    ``wanted`` is a run's number or any of its keys.  Of the link columns that a table has, the one that
+    matches most rows is taken; first with the company's rows alone, then with all.  None without such a run.
+    """
+    from veritide.operators.scopes import choose_column, resolve_run, typed_eq
+
+    have = [c for c in ("id", *keys) if c in runs.columns]
+    mine = None
+    for c in have:
+        mine = resolve_run(runs.where(typed_eq(runs, c, wanted)), *(k for k in keys if k in runs.columns)).first()
+        if mine:
+            break
+    if not mine:
+        return None
+    links = [("run_id", str(mine["id"])), ("run_uuid", mine["run_key"]), ("request_id", mine["run_key"]), ("pipeline_run_id", mine["run_key"])]
+    links = [(c, v) for c, v in links if v is not None]
+
+    def scoped(table: DataFrame) -> DataFrame:
+        own = table.where(F.col("company_id") == F.lit(mine["company_id"])) if "company_id" in table.columns else table
+        for rows in (own, table):
+            best = choose_column(rows, links)
+            if best:
+                return rows.where(typed_eq(rows, *best))
+        return table.limit(0)
+
+    name = companies.where(F.col("id") == F.lit(mine["company_id"])).select(F.col("name").alias("company"))
+    with_name = lambda t: t.crossJoin(F.broadcast(name.limit(1)))  # one row
+    return with_name(scoped(scores)), with_name(scoped(sources))
