@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritide.llm import chars
-from veritide.llm.shared import held_out, read, ship
+from veritide.llm.shared import held_out, lean, read, ship
 
 #: Families of language codes; a code that is not named is a family of its own.
 FAMILIES = {
@@ -146,7 +146,8 @@ def sample(known: DataFrame, bound: int, total: int, languages: int | None = Non
 def train(docs: DataFrame, bound: int = 1000, total: int = 4000, languages: int | None = None) -> Model:
     """Fit on at most ``bound`` documents of each language (``total`` in all, or 50 of each), picked by the hash of their id, none held out.
 
-    All languages are learned, or the ``languages`` most frequent where that is given.  Rows without id, text, letters or lang teach nothing.
+    All languages are learned, or the ``languages`` most frequent where that is given.  Rows without id, text, letters or lang teach nothing;
+    of rows that repeat with id and lang one is learned.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     picked = sample(known, bound, total, languages)
@@ -162,8 +163,9 @@ def train(docs: DataFrame, bound: int = 1000, total: int = 4000, languages: int
             made = [None if v is None else v.astype(np.float16).tobytes() for v in made]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column(1), b.column(2)], ["x", "lang", "id"])
 
-    made = rows.select("_text", "_lang", F.col("_doc").cast("string")).mapInArrow(run, "x binary, lang string, id string")
-    got = sorted(made.where("x IS NOT NULL").collect(), key=lambda r: (r.id, r.lang, r.x))
+    made = rows.select("_text", "_lang", F.col("_doc").cast("string")).mapInArrow(lean(run), "x binary, lang string, id string")
+    one = made.where("x IS NOT NULL").groupBy("id", "lang").agg(F.min("x").alias("x"))
+    got = sorted(one.collect(), key=lambda r: (r.id, r.lang, r.x))
     x = np.ones((len(got), 2 * DIM + 1), np.float32)
     for i, r in enumerate(got):
         x[i, :-1] = np.frombuffer(r.x, np.float16)
@@ -190,7 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritide.llm.shared import read, ship
+from veritide.llm.shared import lean, read, ship
 from veritide.llm.tokens import encoder
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def cuts(n: int, capacity: int, classes: int) -> list[tuple[int, int]]:
@@ -88,10 +88,11 @@ def pack(
     Length class k has exactly k pieces to a sequence.  Each task fills the sequences of its own part of
     the input, with no shuffle, and cuts freely so that nearly all classes fit exactly; what is left in a
     task's open sequences is joined to full sequences and powers of two.  ids: little-endian unsigned
-    32-bit ids.  Null and empty texts are one end id.  A null id stays null; repeated rows are packed each
-    for itself; an empty table gives no rows.  Other columns are ignored.
+    32-bit ids.  Null and empty texts are one end id.  Ids of any type stay as they are, null too; repeated
+    rows are packed each for itself; an empty table gives no rows.  Other columns are ignored.
     """
     ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
@@ -99,8 +100,8 @@ def pack(
         enc = encoder(tokenizer, "ids")
         end = int(end_id).to_bytes(4, "little")
         packer = Packer(capacity, classes, TaskContext.get().partitionId() << 40)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        kinds = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays(
@@ -109,6 +110,7 @@ def pack(
 
         rows = []
         for b in batches:
+            kinds[0] = b.column(0).type
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc, ids in zip(b.column(0).to_pylist(), enc.ids(texts), strict=True):
                 rows.extend(packer.add(doc, ids + end))
@@ -119,9 +121,8 @@ def pack(
         if rows:
             yield batch(rows)
 
-    two = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    out = two.mapInArrow(run, SCHEMA)
-    return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
+    two = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    return two.mapInArrow(lean(run), f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def digest_columns(packed: DataFrame) -> DataFrame:

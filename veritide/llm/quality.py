@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.llm import chars
-from veritide.llm.shared import bounded_sample, held_out, read, ship
+from veritide.llm.shared import bounded_sample, held_out, lean, read, ship
 
 WORDS = 1 << 12  # buckets of hashed words
 STATS = 16
@@ -41,7 +41,7 @@ _BUCKET: dict = {}
 def _bucket(word: str) -> int:
     got = _BUCKET.get(word)
     if got is None:
-        if len(_BUCKET) > 300_000:
+        if len(_BUCKET) > 100_000:
             _BUCKET.clear()
         got = _BUCKET[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & (WORDS - 1)
     return got
@@ -119,7 +119,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: int
 def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Machine:
     """Fit on at most ``bound`` labelled documents that are not held out, picked by the hash of their id.
 
-    labels: doc_id and quality 0/1; null and other values are left out.  A document's repeated labels count once each.
+    labels: doc_id and quality 0/1; null and other values are left out.  Of rows that repeat with doc_id and
+    label one is learned, that with the smallest features, so no more than two rows of an id reach the driver.
     """
     picked = labels.where(F.col("quality").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
     picked = bounded_sample(picked.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")), "_id", bound)
@@ -140,9 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Machine:
             )
 
     made = rows.select("_text", "_n", "_y", F.col("_doc").cast("string")).mapInArrow(
-        run, "idx binary, val binary, stats binary, y int, id string"
+        lean(run), "idx binary, val binary, stats binary, y int, id string"
     )
-    table = sorted(made.collect(), key=lambda r: (r.id, r.idx, r.y))
+    one = made.groupBy("id", "y").agg(F.min(F.struct("idx", "val", "stats")).alias("f")).select("id", "y", "f.*")
+    table = sorted(one.collect(), key=lambda r: (r.id, r.idx, r.y))
     return fit(
         [(np.frombuffer(r.idx, np.int16).astype(np.int64), np.frombuffer(r.val, np.float32), np.frombuffer(r.stats), r.y) for r in table]
     )
@@ -157,33 +159,45 @@ def _said(docs: DataFrame):
     return n.alias("_n")
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+def score(
+    docs: DataFrame, machine: Machine, threshold: float = 0.3, keep: list[str] | None = None, accepted: bool = False
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, or the columns ``keep`` and score and predicted.
 
     Null text counts as empty and is scored too; a null or negative n_chars counts as the text's length.
-    Repeated rows get equal scores; a null doc_id stays null; an empty table gives no rows.
+    Repeated rows get equal scores; a null doc_id stays null; an empty table gives no rows.  With
+    ``accepted`` the columns ``keep`` of the rows predicted 1 come back.  A kept text goes to the workers once.
     """
     ship(docs.sparkSession)
     held = machine
     keep = keep or ["doc_id"]
-    kept = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], _text(docs), _said(docs))
+    sent = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    at = []
+    for name, kind, made in (("text", "string", _text), ("n_chars", "bigint", _said)):
+        if name in keep and docs.schema[name].dataType.simpleString() == kind:
+            at.append(keep.index(name))
+        else:
+            at.append(len(sent))
+            sent.append(made(docs))
+    kept = docs.select(*sent)
     kinds = [f.dataType.simpleString() for f in kept.schema.fields[: len(keep)]]
+    text_at, said_at = at
 
     def run(batches):
         rows = Rows(held)
         for b in batches:
-            *_, texts, said = b.columns
-            z = [rows.logit(t, n) for t, n in zip(texts.to_pylist(), said.to_pylist(), strict=True)]
+            pairs = zip(b.column(text_at).to_pylist(), b.column(said_at).to_pylist(), strict=True)
+            z = [rows.logit(t, n) for t, n in pairs]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -40, 40)))
             own = b.columns[: len(keep)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(p, pa.float64())], [f"_k{i}" for i in range(len(keep))] + ["_score"])
+            out = pa.RecordBatch.from_arrays([*own, pa.array(p, pa.float64())], [f"_k{i}" for i in range(len(keep))] + ["_score"])
+            yield out.filter(pa.array(p >= threshold)) if accepted else out
 
     schema = ", ".join(f"_k{i} {k}" for i, k in enumerate(kinds)) + ", _score double"
-    out = kept.mapInArrow(run, schema).select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).cast("int").alias("predicted"),
-    )
+    out, own = kept.mapInArrow(lean(run), schema), [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+    if accepted:
+        return out.select(*own)
+    out = out.select(*own, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
     return out if keep != ["doc_id"] else out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -1,9 +1,13 @@
-"""What the operators of this subpackage share: the shared folder, written tables, code shipping."""
+"""What the operators of this subpackage share: the shared folder, written tables, code shipping, worker memory."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +15,9 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from veritide.sources.tables import read_table
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,8 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders below the shared one that this driver made, in order, until they are dropped.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/veritide/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/veritide/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -40,11 +53,97 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veritide_path = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    """(the store of ``path``, its path object there)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def store_of(path: str):
+    """(the store of ``path``, its path there) for workers, which have no JVM at hand."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:", "", path))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = file_system(spark, path)
+    return store.exists(at)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete the files of ``written`` tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_veritide_path", None)
+        if path in _MADE:
+            sweep(t.sparkSession, [path])
+
+
+def made() -> list[str]:
+    """The folders made so far, for a later ``sweep``."""
+    return list(_MADE)
+
+
+def sweep(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these folders of ``made`` (all by default); tables that read them must be done with."""
+    for path in made() if paths is None else paths:
+        if path in _MADE:
+            store, at = file_system(spark, path)
+            store.delete(at, True)
+            _MADE.remove(path)
+
+
+def integer_ids(df: DataFrame, *columns: str) -> None:
+    """Raise TypeError unless these columns hold integers, by which the operators order and compare rows."""
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, IntegralType):
+            raise TypeError(f"{c} must be an integer column, not {df.schema[c].dataType.simpleString()}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    while any(name.lower() == c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def lean(run):
+    """``run`` for mapInArrow: its worker, which later tasks reuse, gives freed memory back when a task ends."""
+
+    @functools.wraps(run)
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes, "CDLL"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+#: Rows and bytes of one Arrow batch between Spark and a worker; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, unless their path already has it."""
+    """Bound Arrow batches by bytes, and make this package importable on the executors unless their path already has it."""
+    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))
     on_path = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
     if any(p and os.path.realpath(p) == os.path.realpath(_ROOT) for p in on_path):
         return
@@ -63,7 +162,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, sf_dir, table)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -73,7 +73,7 @@ def word_model(path: str):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids (``ids``) or counts them (``counts``)."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 200_000):
         self.path, self.memo = path, memo
         self.by_chunk = chunkable(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,8 +116,6 @@ class Encoder:
 
     def _known(self, cut: list[tuple[list[str], list[str]]], value) -> None:
         for memo, k, prefix in ((self._whole, 0, ""), (self._inner, 1, " ")):
-            if len(memo) > self.memo:
-                memo.clear()
             new = set().union(*(parts[k] for parts in cut)).difference(memo)
             # A stop or comma behind a letter is a pre-token of its own: the word before it is looked up alone.
             ends = [c for c in new if c[-1:] in _STOPS and c[-2:-1].isalpha() and c[-2] < "\u0250"]
@@ -128,6 +126,13 @@ class Encoder:
                 stop = dict(zip(_STOPS, map(value, self._raw(list(_STOPS))), strict=True))
                 memo.update((c, memo[c[:-1]] + stop[c[-1]]) for c in ends)
 
+    def _bounded(self) -> None:
+        """Drop the younger half of a full memo: frequent chunks come early, so the older half is worth more."""
+        for memo in (self._whole, self._inner):
+            if len(memo) > self.memo:
+                for c in list(memo)[self.memo // 2 :]:
+                    del memo[c]
+
     def _each(self, texts: list[str], value, empty, join):
         for at in range(0, len(texts), 128):
             some = texts[at : at + 128]
@@ -139,6 +144,7 @@ class Encoder:
             whole, inner = self._whole.__getitem__, self._inner.__getitem__
             for a, b in cut:
                 yield join(map(whole, a), map(inner, b))
+            self._bounded()
 
     def counts(self, texts: list[str]):
         return self._each(texts, len, 0, lambda a, b: sum(a) + sum(b))
