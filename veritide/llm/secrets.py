@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritide.llm.shared import new_path, read, ship
+from veritide.llm.shared import exists, lean, new_path, read, ship, written
 from veritide.llm.token_counts import normalised, representatives
 
 #: The base rules in their order, then the rules added here.
@@ -91,14 +91,17 @@ VERSIONS = {
 def read_ledger(spark: SparkSession, path: str, by=scan) -> DataFrame:
     """Scanned blobs of the present rule version, those without findings too; none where nothing is stored."""
     here = f"{path}/rules={VERSIONS[by]}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(here)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    if not exists(spark, here):
         return spark.createDataFrame([], LEDGER_SCHEMA)
     return spark.read.schema(LEDGER_SCHEMA).parquet(here)
 
 
-def scan_blobs(keyed: DataFrame, ledger: str, by=scan) -> DataFrame:
-    """Scan the blobs of ``keyed`` (_id, _text, _digest) that the ledger lacks, append them, return the whole ledger."""
+def scan_blobs(keyed: DataFrame, rows: DataFrame, ledger: str, by=scan) -> DataFrame:
+    """Scan the blobs of ``keyed`` (_id, _text, _digest) that the ledger lacks, append them, return the ledger's findings.
+
+    rows: (_id, _digest) of ``keyed``.  The result is (digest, findings) of all blobs that have findings, as a
+    table of its own: a join with it has two plain sides, so that Spark can split a blob that many rows share.
+    """
     spark = keyed.sparkSession
     ship(spark)
 
@@ -109,10 +112,10 @@ def scan_blobs(keyed: DataFrame, ledger: str, by=scan) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(_SPAN))], ["digest", "findings"])
 
-    todo = representatives(keyed, read_ledger(spark, ledger, by)).select("_digest", "_text")
-    todo.mapInArrow(run, LEDGER_SCHEMA).write.mode("append").parquet(f"{ledger}/rules={VERSIONS[by]}")
+    todo = representatives(keyed, rows, read_ledger(spark, ledger, by)).select("_digest", "_text")
+    todo.mapInArrow(lean(run), LEDGER_SCHEMA).write.mode("append").parquet(f"{ledger}/rules={VERSIONS[by]}")
     # A row repeated with its id was scanned for each of its copies, with the same findings.
-    return read_ledger(spark, ledger, by).dropDuplicates(["digest"])
+    return written(read_ledger(spark, ledger, by).where(F.size("findings") > 0).dropDuplicates(["digest"]), "findings")
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,10 +132,9 @@ def scan_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
     and repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
     """
     keyed = keyed_texts(docs, id_col, text_col)
-    known = scan_blobs(keyed, ledger)
-    # Clean blobs are left out here, so that the join moves findings alone.
-    found = known.where(F.size("findings") > 0)
-    joined = keyed.select("_id", "_digest").join(found, F.col("_digest") == F.col("digest"), "left")
+    rows = written(keyed.select("_id", "_digest"), "keys")
+    found = scan_blobs(keyed, rows, ledger)
+    joined = rows.join(found, F.col("_digest") == F.col("digest"), "left")
     none = F.array().cast(FINDINGS)
     return joined.select(
         F.col("_id").alias(id_col), F.col("_digest").alias("digest"), F.coalesce("findings", none).alias("findings")
@@ -143,16 +145,18 @@ def redact(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str =
     """``docs`` with every finding in its text replaced by ``mark``; rows, columns and clean texts stay as they are.
 
     Overlapping findings are replaced as one; a private key is replaced with its body and END line.  A null
-    text stays null.
+    text stays null; columns may have any names; repeated rows and null ids stay.  An empty table gives no rows.
     """
     keyed = keyed_texts(docs, id_col, text_col)
-    found = scan_blobs(keyed, ledger, scan_whole).where(F.size("findings") > 0).withColumnRenamed("digest", "_blob")
-    rows = docs.withColumn("_blob_of", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    rows = rows.join(found, F.col("_blob_of") == F.col("_blob"), "left")
-    dirty = F.col("findings").isNotNull()
+    found = scan_blobs(keyed, written(keyed.select("_id", "_digest"), "keys"), ledger, scan_whole)
+    # The rows travel as one struct, so that no column of theirs can meet a name used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("blob", F.unhex(F.sha2(normalised(F.col("row")[text_col]), 256)))
+    rows = rows.join(found, F.col("blob") == F.col("digest"), "left")
+    dirty, whole = F.col("findings").isNotNull(), F.col("row")[text_col]
 
     def step(acc, f):
-        text = F.col(text_col)
+        text = whole
         begin, end = f["start"], f["end"]
         gap = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(begin - acc["at"], F.lit(0)).cast("int"))
         more = F.when(begin >= acc["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
@@ -160,9 +164,10 @@ def redact(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str =
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     clean = F.aggregate(
-        "findings", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int")))
+        "findings", start, step, lambda acc: F.concat(acc["out"], F.substr(whole, (acc["at"] + 1).cast("int")))
     )
-    return rows.withColumn(text_col, F.when(dirty, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    new = F.when(dirty, clean).otherwise(whole)
+    return rows.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def joined_spans(findings, kinds=None):

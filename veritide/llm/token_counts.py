@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritide.llm.shared import new_path, read, ship
+from veritide.llm.shared import exists, lean, new_path, read, ship, written
 from veritide.llm.tokens import encoder, file_digest
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -17,15 +17,15 @@ def normalised(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def representatives(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def representatives(keyed: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     """The rows (_id, _text, _digest) of one id for each digest that ``known`` (column digest) lacks.
 
-    Ids are picked without their texts and combined before the shuffle, so that a text shared by a third
-    of the rows is neither moved nor gathered more than once.  Rows repeated with their id all stay.
+    rows: (_id, _digest) of ``keyed``.  Ids are picked without their texts and combined before the shuffle,
+    so that a text shared by a third of the rows is neither moved nor gathered more than once.  Rows
+    repeated with their id all stay.
     """
-    pick = keyed.groupBy("_digest").agg(F.min("_id").alias("_pick")).withColumnRenamed("_digest", "_want")
-    if known is not None:
-        pick = pick.join(known, F.col("_want") == F.col("digest"), "left_anti")
+    pick = rows.groupBy("_digest").agg(F.min("_id").alias("_pick")).withColumnRenamed("_digest", "_want")
+    pick = pick.join(known, F.col("_want") == F.col("digest"), "left_anti")
     same = (F.col("_digest") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("_pick"))
     return keyed.join(pick.hint("shuffle_hash"), same, "left_semi")
 
@@ -33,8 +33,7 @@ def representatives(keyed: DataFrame, known: DataFrame | None = None) -> DataFra
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     """Counts stored under ``path`` for one tokenizer version; none where nothing is stored yet."""
     here = f"{path}/tokenizer={version}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(here)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    if not exists(spark, here):
         return spark.createDataFrame([], CACHE_SCHEMA)
     return spark.read.schema(CACHE_SCHEMA).parquet(here).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
@@ -69,12 +68,12 @@ def count_tokens(
             counts = list(enc.counts(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    new = representatives(keyed, stored).select("_digest", "_text").mapInArrow(encode, CACHE_SCHEMA)
+    rows = written(keyed.select("_id", "_digest", F.octet_length("_text").cast("long").alias("n_bytes")), "keys")
+    new = representatives(keyed, rows, stored).select("_digest", "_text").mapInArrow(lean(encode), CACHE_SCHEMA)
     new.write.mode("append").parquet(f"{cache}/tokenizer={version}")
-    stored = read_cache(spark, cache, version)
-    return keyed.select("_id", "_digest", F.octet_length("_text").cast("long").alias("n_bytes")).join(
-        stored, F.col("_digest") == F.col("digest")
-    ).select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Both sides of the join are plain tables, so that Spark can split the rows of a digest that many share.
+    counts = written(read_cache(spark, cache, version), "counts")
+    return rows.join(counts, F.col("_digest") == F.col("digest")).select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
