@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.llm.components import components
-from veritide.llm.shared import read, ship, written
+from veritide.llm.shared import drop, integer_ids, lean, read, ship, written
 
 
 @dataclass(frozen=True)
@@ -19,7 +19,8 @@ class Sketch:
     """SetSketch of bands * rows registers over minima of rate a, spaced exponentially by base.
 
     With 5 rows and 38 bands a pair at similarity 0.80 shares no band once in four million, at 0.85 once in
-    five thousand million.
+    five thousand million.  By Chernoff's bound a pair at the threshold (0.80 or 0.85) is estimated ``slack``
+    below it less than once in a thousand million, so the estimate loses no more than the bands may.
     """
 
     rows: int = 5
@@ -31,7 +32,7 @@ class Sketch:
     pairs_up_to: int = 64  # members of a bucket whose pairs are listed; larger buckets are compared in blocks
     block_rows: int = 512
     block_elements: int = 1_000_000
-    slack: float = 0.17  # pairs estimated this far below the threshold, five standard errors, are not verified
+    slack: float = 0.21  # pairs estimated this far below the threshold are not verified
 
     @property
     def m(self) -> int:
@@ -111,16 +112,22 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, s: Sketch) -> DataFram
             )
 
     two = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return two.mapInArrow(run, "_id long, n long, set_hash binary, regs binary")
+    return two.mapInArrow(lean(run), "_id long, n long, set_hash binary, regs binary")
 
 
 def buckets(reps: DataFrame, s: Sketch) -> DataFrame:
-    """(bucket, rep, n) of the bands that at least two representatives share."""
+    """(bucket, rep, n, lead, lead_n) of the bands that at least two representatives share; lead is the smallest.
+
+    The leads are a table of their own, so that Spark can split the rows of a bucket that many share.
+    """
     size = 2 * s.rows
     band = F.expr(f"transform(sequence(0, {s.bands - 1}), i -> xxhash64(i, substring(regs, i * {size} + 1, {size})))")
     rows = reps.select(F.explode(band).alias("bucket"), "rep", "n")
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    return rows.join(shared.select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b"), "left_semi")
+    lead = rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("l"), F.max("rep").alias("hi")).where("l.rep <> hi")
+    lead = written(lead.select(F.col("bucket").alias("_b"), F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n")), "leads")
+    out = written(rows.join(lead, F.col("bucket") == F.col("_b")).drop("_b"), "buckets")
+    drop(lead)
+    return out
 
 
 def _alike_sizes(percent: int):
@@ -129,10 +136,8 @@ def _alike_sizes(percent: int):
 
 def star_pairs(member: DataFrame, percent: int) -> DataFrame:
     """(a, b): each bucket's smallest member with every other member."""
-    lead = member.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("l"))
-    lead = lead.select(F.col("bucket").alias("_b"), F.col("l.rep").alias("a"), F.col("l.n").alias("na"))
-    both = member.join(lead, F.col("bucket") == F.col("_b")).withColumnRenamed("n", "nb")
-    return both.where((F.col("rep") != F.col("a")) & _alike_sizes(percent)).select("a", F.col("rep").alias("b")).distinct()
+    both = member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
+    return both.where(_alike_sizes(percent)).select("a", "b").distinct()
 
 
 def cross_pairs(member: DataFrame, percent: int) -> DataFrame:
@@ -146,13 +151,12 @@ def cross_pairs(member: DataFrame, percent: int) -> DataFrame:
 def block_links(member: DataFrame, sets: DataFrame, percent: int, rows: int, elements: int) -> DataFrame:
     """Links across components inside large buckets, as edges (u, v); one for each two components and block.
 
-    A bucket's members are dealt by hash to blocks of about ``rows`` members and ``elements`` set elements,
-    and each two blocks are compared in one task on their full sets: work is spread over block pairs,
+    member: (bucket, rep, comp, k, e), the last two the members and set elements of the bucket.  Members
+    are dealt by hash to blocks of about ``rows`` members and ``elements`` set elements, and each two blocks are compared in one task on their full sets: work is spread over block pairs,
     and only links leave it.
     """
-    size = member.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
-    size = size.select("bucket", F.ceil(F.greatest(F.col("k") / rows, F.col("e") / elements)).cast("int").alias("nb"))
-    dealt = member.join(size, "bucket").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = member.withColumn("nb", F.ceil(F.greatest(F.col("k") / rows, F.col("e") / elements)).cast("int"))
+    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     dealt = dealt.select("bucket", "rep", "comp", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("t"))
     dealt = dealt.select("bucket", "rep", "comp", "blk", F.least("blk", "t").alias("lo"), F.greatest("blk", "t").alias("hi"))
     dealt = dealt.join(sets, "rep")
@@ -198,7 +202,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int, s: Sketch) -> DataFr
                 ok = estimate(ra, rb, na, nb, s.base) >= percent / 100 - s.slack
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +219,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s: Sketch) -> DataFrame:
@@ -228,7 +232,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s:
 
     two = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     mine = two.join(wanted.select(F.col("rep").alias("_id")).distinct().hint("shuffle_hash"), "_id", "left_semi")
-    return mine.mapInArrow(run, "rep long, elements binary")
+    return mine.mapInArrow(lean(run), "rep long, elements binary")
 
 
 def near_duplicates(
@@ -244,40 +248,55 @@ def near_duplicates(
     members with its smallest member, then, in buckets whose members still lie in different components,
     all members across components: as pairs in small buckets, in blocks in large ones.  Estimates drop
     listed pairs that are clearly below the threshold, full sets decide.
-    Empty sets (null text too) link with nothing and form their own component.  Ids should be distinct;
-    rows that repeat with their id get the same result, and a row with a null id gets the component of
-    its class.  An empty table gives no rows; other columns are ignored.
+    Empty sets (null text too) link with nothing and form their own component.  Ids must be integers (else
+    TypeError) and should be distinct; rows that repeat with their id get the same result, and a row with a
+    null id gets the component of its class.  An empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
+    integer_ids(docs, id_col)
     s = sketch
     base = written(sketches(docs, id_col, text_col, s), "sketches")
     reps = base.where("n > 0 AND _id IS NOT NULL").groupBy("set_hash", "n", "regs").agg(F.min("_id").alias("rep"))
     reps = written(reps, "classes")
-    member = written(buckets(reps, s), "buckets")
-    wanted = member.select("rep").distinct()
-    sets = written(full_sets(docs, wanted, id_col, text_col, s), "sets").dropDuplicates(["rep"])
+    member = buckets(reps, s)
+    wanted = written(member.select("rep").distinct(), "wanted")
+    full = written(full_sets(docs, wanted, id_col, text_col, s), "sets")
+    # Of rows that repeat with their id one is taken; else the sets stay a plain table, as ``buckets`` says of leads.
+    again = not full.groupBy("rep").count().where("count > 1").isEmpty()
+    sets = written(full.dropDuplicates(["rep"]), "one-set") if again else full
     regs = written(reps.join(wanted, "rep", "left_semi"), "registers")
 
     def linked(pairs, label):
-        return written(verified(written(likely(pairs, regs, percent, s), f"{label}-likely"), sets, percent), f"{label}-links")
+        some = written(likely(pairs, regs, percent, s), f"{label}-likely")
+        out = written(verified(some, sets, percent), f"{label}-links")
+        drop(some)
+        return out
 
-    def labelled(stars):
+    def split(stars):
+        """The members of the buckets whose members lie in different components, with the bucket's size."""
         rows = member.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("_root")), "rep", "left")
         rows = rows.select("bucket", "rep", "n", F.coalesce("_root", "rep").alias("comp"))
-        split = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return rows.join(split.select("bucket"), "bucket", "left_semi")
-
-    stars = components(linked(star_pairs(member, percent), "first"))
-    rest = written(labelled(stars), "rest")
-    size = rest.groupBy("bucket").agg(F.count("*").alias("k"))
-    small = rest.join(size.where(F.col("k") <= s.pairs_up_to).select("bucket"), "bucket", "left_semi")
-    large = rest.join(size.where(F.col("k") > s.pairs_up_to).select("bucket"), "bucket", "left_semi")
-    more = block_links(large, sets, percent, s.block_rows, s.block_elements)
-    more = written(more.unionByName(linked(cross_pairs(small, percent), "second")), "links")
-    stars = components(stars.unionByName(more))
-
-    root = reps.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("_root")), "rep", "left")
-    root = root.select(F.col("set_hash").alias("_key"), F.coalesce("_root", "rep").alias("_root"))
+        size = rows.groupBy("bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("e")
+        )
+        size = written(size.where("lo <> hi").select(F.col("bucket").alias("_b"), "k", "e"), "sizes")
+        out = written(rows.join(size, F.col("bucket") == F.col("_b")).drop("_b"), "rest")
+        drop(size)
+        return out
+
+    first = linked(star_pairs(member, percent), "first")
+    stars = components(first)
+    rest = split(stars)
+    second = linked(cross_pairs(rest.where(F.col("k") <= s.pairs_up_to), percent), "second")
+    large = block_links(rest.where(F.col("k") > s.pairs_up_to), sets, percent, s.block_rows, s.block_elements)
+    more = written(large.unionByName(second), "links")
+    last = components(stars.unionByName(more))
+    drop(first, second, stars, rest, more, full, sets, regs, wanted, member)
+
+    root = reps.join(last.select(F.col("u").alias("rep"), F.col("v").alias("_root")), "rep", "left")
+    root = written(root.select(F.col("set_hash").alias("_key"), F.coalesce("_root", "rep").alias("_root")), "roots")
+    drop(last, reps)
+    # Both sides are plain tables, so that Spark can split the rows of a set that many share.
     out = base.select("_id", "n", "set_hash").join(root, F.col("set_hash") == F.col("_key"), "left")
     comp = F.coalesce("_root", "_id")
     return out.select(
