@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from veritide.llm.shared import read, ship
+from veritide.llm.shared import lean, read, ship, store_of, written
 
 #: Errors allowed for each character of an item.
 RATE = 0.06
@@ -126,14 +128,46 @@ class Matcher:
         return found
 
 
-def item_blocks(bench: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The normalised items in blocks of about ``block_bytes``, one read of the table for each; only one block is held at a time."""
-    items = bench.select(F.col("item_id").alias("i"), normalised(F.col("text")).alias("t")).where(F.length("t") > 0)
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        got = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).distinct().collect()
-        yield sorted((r.i, r.t) for r in got)
+def blocks(path: str, block_bytes: int):
+    """The items (id, text) of a written table in blocks of about ``block_bytes``; a worker holds one block at a time."""
+    store, root = store_of(path)
+    held, size = [], 0
+    for b in ds.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=1024):
+        for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True):
+            held.append((i, t))
+            size += len(t.encode())
+            if size >= block_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+class Searcher:
+    """Matches texts against all items of a table, block by block; one block's automaton stays for the next call."""
+
+    def __init__(self, path: str, many: bool, rate: float, least: int, block_bytes: int):
+        self.path, self.many, self.args, self.block_bytes = path, many, (rate, least), block_bytes
+        self.one: tuple | None = None
+
+    def _matchers(self):
+        if self.one is not None:
+            yield self.one
+            return
+        for items in blocks(self.path, self.block_bytes):
+            made = items, Matcher(items, *self.args)
+            if not self.many:
+                self.one = made
+            yield made
+
+    def rows(self, texts: list[str]) -> list[tuple]:
+        """(position of the text, item id, distance, budget, end of the passage) of all matches, by position."""
+        out = []
+        for items, matcher in self._matchers():
+            for at, t in enumerate(texts):
+                for k, (d, end) in matcher.matches(t).items():
+                    out.append((at, items[k][0], d, matcher.budget[k], end))
+        return sorted(out, key=lambda r: (r[0], r[1] is None, r[1]))
 
 
 def leaks(
@@ -144,39 +178,51 @@ def leaks(
     least: int = LEAST,
     id_col: str = "doc_id",
     text_col: str = "text",
+    texts_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(id, item_id, distance, budget, passage_end): every item within its error budget of a passage of a text.
 
     An item of n normalised characters may differ by floor(rate * n) edits; one shorter than ``least`` by
-    none, and it counts only as whole words.  passage_end counts characters of the normalised text.  Benchmark items are a stated query set: blocks of about ``block_bytes`` are
-    matched against all texts, block by block.  Null and empty texts leak nothing, nor do null and
-    empty items; null ids are kept as they are, repeated rows each give their rows; an
-    empty table on either side gives no rows.
+    none, and it counts only as whole words.  passage_end counts characters of the normalised text.
+    The items are a table in the shared folder that each task reads; none of them pass through the driver.
+    Texts are read once: of a benchmark over ``block_bytes`` each task matches its texts, in groups of about
+    ``texts_bytes``, against one block after the other.  Null and empty texts leak nothing, nor do null and
+    empty items; null ids of both sides are kept as they are, repeated rows of ``docs`` each give their rows,
+    equal items with equal ids count once; an empty table on either side gives no rows.
     """
-    ship(docs.sparkSession)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), bench.schema["item_id"].dataType
+    spark = docs.sparkSession
+    ship(spark)
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"))
-    schema = f"{id_col} {kind}, item_id {item_kind.simpleString()}, distance int, budget int, passage_end long"
+    items = bench.select(F.col("item_id").alias("i"), normalised(F.col("text")).alias("t")).where(F.length("t") > 0)
+    items = written(items.distinct(), "items")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    path, many = items._veritide_path, size >= block_bytes
+    item_type = to_arrow_type(items.schema["i"].dataType)
     names = [id_col, "item_id", "distance", "budget", "passage_end"]
-    out = None
-    for block in item_blocks(bench, block_bytes):
-
-        def run(batches, block=block):
-            matcher = Matcher(block, rate, least)
-            for b in batches:
-                rows = []
-                for at, t in enumerate(b.column(1).to_pylist()):
-                    for k, (d, end) in sorted(matcher.matches(t).items()):
-                        rows.append((at, block[k][0], d, matcher.budget[k], end))
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                ids = b.column(0).take(pa.array(cols[0], pa.int64()))
-                kinds = [pa.int64() if item_kind.simpleString() == "bigint" else None, pa.int32(), pa.int32(), pa.int64()]
-                rest = [pa.array(c, k or pa.string() if not c else k) for c, k in zip(cols[1:], kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, *rest], names)
-
-        found = texts.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def run(batches):
+        search = Searcher(path, many, rate, least, block_bytes)
+        held, n = [], 0
+
+        def found():
+            rows = search.rows([t for b in held for t in b.column(1).to_pylist()])
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            ids = pa.chunked_array([b.column(0) for b in held]).take(pa.array(cols[0], pa.int64())).combine_chunks()
+            kinds = [item_type, pa.int32(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names)
+
+        for b in batches:
+            held.append(b)
+            n += b.nbytes
+            if not many or n >= texts_bytes:
+                yield found()
+                held, n = [], 0
+        if held:
+            yield found()
+
+    schema = f"`{id_col}` {kind}, item_id {item_kind}, distance int, budget int, passage_end long"
+    return texts.mapInArrow(lean(run), schema)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
