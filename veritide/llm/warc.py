@@ -1,16 +1,33 @@
-"""WARC archives: a writer through Spark's text sink and a Python data source that reads headers first."""
+"""WARC archives: a Python data source that writes record-wise gzip members and reads headers first.
+
+Each record is a gzip member of its own, whose extra field "sl" holds the member's compressed and
+uncompressed length, as the format's annex on compression proposes.  A reader inflates a member until the
+header ends and seeks over the rest unless the record is wanted.
+"""
 
 from __future__ import annotations
 
 import gzip
 import io
 import re
+import uuid
+import zlib
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
-
-from veritide.llm.shared import new_path, read, ship
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    In,
+    InputPartition,
+    WriterCommitMessage,
+)
+
+from veritide.llm.shared import new_path, read, ship, store_of
 
 #: Columns of the source; each is a header, but for payload.
 HEADERS = {
@@ -25,6 +42,8 @@ SCHEMA = "record_type string, record_id string, target_uri string, payload_diges
 DIGEST = "sha256:"
 #: Fixed values of the archive format.
 VERSION, END, DATE = "WARC/1.1", "\r\n\r\n", "2024-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MAGIC, EXTRA, SKIP = b"\x1f\x8b\x08", 4, b"sl\x08\x00"
 
 
 def record_id(kind: str, key) -> F.Column:
@@ -60,7 +79,7 @@ def write_warc(
     payload_col: str = "html",
     least: int = 100,
 ) -> None:
-    """Write one WARC record for each row, in files that Spark's committer puts in place.
+    """Write one WARC record for each row, a gzip member each, in files that only a finished job puts in place.
 
     Of rows with equal payloads of at least ``least`` bytes, that with the smallest id becomes a response
     and the others revisits that name it; smaller payloads are always responses.  A null payload is
@@ -83,14 +102,75 @@ def write_warc(
         line("WARC-Date", F.lit(DATE)),
         F.when(F.col("_uri").isNull(), "").otherwise(line("WARC-Target-URI", F.col("_uri"))),
         line("WARC-Payload-Digest", F.concat(F.lit(DIGEST), F.col("_digest"))),
-        F.when(revisit, line("WARC-Refers-To", record_id("page", F.col("_first")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", record_id("page", F.col("_first"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("X-Payload-Length", F.col("_size").cast("string")),
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("_size").cast("string"))),
         F.lit(END),
     )
-    # The sink takes strings and writes their bytes as they are.
-    body = F.when(revisit, F.lit("")).otherwise(F.col("_payload").cast("string"))
-    rows.select(F.concat(head, body).alias("value")).write.text(path, compression="gzip", lineSep=END)
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("_payload"))
+    spark = pages.sparkSession
+    ship(spark)
+    spark.dataSource.register(WarcSource)
+    rows.select(head.alias("head"), body.alias("body")).write.format("warc").mode("append").save(path)
+
+
+def member(head: bytes, body: bytes) -> bytes:
+    """One record as a gzip member with its lengths; a member too long for them has none."""
+    whole = head + body + END.encode()
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data = packer.compress(whole) + packer.flush()
+    tail = zlib.crc32(whole).to_bytes(4, "little") + (len(whole) & 0xFFFFFFFF).to_bytes(4, "little")
+    size = 10 + 2 + len(SKIP) + 8 + len(data) + 8
+    if max(size, len(whole)) >= 1 << 32:
+        return MAGIC + bytes(5) + b"\x00\xff" + data + tail
+    skip = SKIP + size.to_bytes(4, "little") + len(whole).to_bytes(4, "little")
+    return MAGIC + bytes([EXTRA]) + bytes(4) + b"\x00\xff" + len(skip).to_bytes(2, "little") + skip + data + tail
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    name: str | None
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Each task writes a file of its own below ``_temporary``; the commit moves the files of the tasks that count."""
+
+    def __init__(self, options: dict):
+        self.path, self.job = options["path"], uuid.uuid4().hex
+
+    def _place(self):
+        store, root = store_of(self.path)
+        return store, root, f"{root}/_temporary-{self.job}"
+
+    def write(self, iterator):
+        store, _, here = self._place()
+        name, out = f"part-{uuid.uuid4().hex}.warc.gz", None
+        for b in iterator:
+            if not b.num_rows:
+                continue
+            if out is None:
+                store.create_dir(here, recursive=True)
+                out = store.open_output_stream(f"{here}/{name}", compression=None)
+            for head, body in zip(b.column(0), b.column(1), strict=True):
+                out.write(member(head.as_py().encode(), body.as_py()))
+        if out is not None:
+            out.close()
+        return Part(None if out is None else name)
+
+    def commit(self, messages):
+        store, root, here = self._place()
+        store.create_dir(root, recursive=True)
+        for m in messages:
+            if m is not None and m.name:
+                store.move(f"{here}/{m.name}", f"{root}/{m.name}")
+        self.abort(messages)
+
+    def abort(self, messages):
+        from pyarrow import fs
+
+        store, _, here = self._place()
+        if store.get_file_info(here).type == fs.FileType.Directory:
+            store.delete_dir(here)
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
@@ -127,6 +207,55 @@ def records(stream, wanted, payload: bool):
                 yield headers, None
 
 
+def skip_lengths(stream) -> tuple[int, int] | None:
+    """(compressed, uncompressed) length of the member whose fixed header was read; None without the extra field."""
+    n = int.from_bytes(stream.read(2), "little")
+    extra = stream.read(n)
+    while len(extra) >= 4:
+        size = int.from_bytes(extra[2:4], "little")
+        if extra[:4] == SKIP:
+            return int.from_bytes(extra[4:8], "little"), int.from_bytes(extra[8:12], "little")
+        extra = extra[4 + size :]
+    return None
+
+
+def member_records(stream, wanted, payload: bool):
+    """As ``records``, of a gzipped archive: from members with lengths only headers are inflated unless their payload is wanted."""
+    while True:
+        begin = stream.tell()
+        fixed = stream.read(10)
+        if not fixed:
+            return
+        if fixed[:3] != MAGIC:
+            raise ValueError(f"no gzip member begins at byte {begin}")
+        lengths = skip_lengths(stream) if fixed[3] == EXTRA else None
+        if lengths is None:  # another writer's archive: inflate all that follows
+            stream.seek(begin)
+            yield from records(gzip.GzipFile(fileobj=stream), wanted, payload)
+            return
+        end = begin + lengths[0]
+        inflate, text = zlib.decompressobj(-15), b""
+        while (cut := text.find(END.encode())) < 0 and not inflate.eof:
+            more = stream.read(min(512, end - stream.tell()))
+            if not more:
+                raise EOFError(f"the record at byte {begin} ends early")
+            text += inflate.decompress(more)
+        if not text.startswith(b"WARC/") or cut < 0:
+            raise ValueError(f"no WARC record in the member at byte {begin}")
+        headers = parse_headers(text[:cut])
+        if wanted(headers):
+            body = None
+            if payload:
+                rest = stream.read(end - stream.tell())
+                text += inflate.decompress(rest) + inflate.flush()
+                tail = (inflate.unused_data or rest)[-8:]
+                if len(text) != lengths[1] or zlib.crc32(text).to_bytes(4, "little") != tail[:4]:
+                    raise EOFError(f"record {headers.get('warc-record-id')} is broken")
+                body = text[cut + 4 : cut + 4 + int(headers.get("content-length", "0"))]
+            yield headers, body
+        stream.seek(end)
+
+
 class Files(InputPartition):
     def __init__(self, names: list[str]):
         self.names = names
@@ -138,7 +267,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
-        self.target = int(options.get("partitionbytes", str(64 << 20)))
+        self.target = int(options.get("partitionbytes", str(128 << 20)))
         self.accept: dict[str, set] = {}
 
     def pushFilters(self, filters):
@@ -150,16 +279,10 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    @staticmethod
-    def _fs(path: str):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:", "", path))
-
     def partitions(self):
         from pyarrow import fs
 
-        store, root = self._fs(self.path)
+        store, root = store_of(self.path)
         infos = store.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((i.path, i.size) for i in infos if i.is_file and i.base_name[0] not in "._")
         groups, size = [[]], 0
@@ -175,22 +298,34 @@ class WarcReader(DataSourceReader):
         return all(headers.get(HEADERS[c]) in values for c, values in self.accept.items())
 
     def read(self, partition):
-        store, _ = self._fs(self.path)
+        store, _ = store_of(self.path)
+        rows, size = [], 0
         for name in partition.names:
-            with store.open_input_file(name) as raw:
-                packed = name.endswith(".gz")
-                stream = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
-                for headers, body in records(stream, self._wanted, self.payload):
+            with store.open_input_file(name) as raw, io.BufferedReader(raw, 1 << 16) as stream:
+                parse = member_records if name.endswith(".gz") else records
+                for headers, body in parse(stream, self._wanted, self.payload):
                     values = [headers.get(h) for h in HEADERS.values()]
                     values[-1] = None if values[-1] is None else int(values[-1])
-                    yield (*values, body)
+                    rows.append((*values, body))
+                    size += len(body or b"")
+                    if len(rows) >= 1000 or size >= 4 << 20:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+    cols = zip(zip(*rows, strict=True), kinds, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], [*HEADERS, "payload"])
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc")``: options path, payload (false: headers only), partitionBytes.
+    """``format("warc")``: options path, payload (false: headers only), partitionBytes (of compressed files to a task).
 
-    Gzipped archives are read too.  A file is never split.  An empty folder gives no rows; a broken
-    record raises.
+    Reads plain and gzipped archives, of this writer and others.  A file is never split.  An empty folder
+    gives no rows; a broken record raises.  Writes rows of (head string, body binary), as ``write_warc`` makes them.
     """
 
     @classmethod
@@ -203,12 +338,18 @@ class WarcSource(DataSource):
     def reader(self, schema):
         return WarcReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return WarcWriter(self.options)
+
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    size = re.match(r"\d+", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    unit = {"k": 10, "m": 20, "g": 30}.get(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")[-1:].lower(), 0)
+    rows = spark.read.format("warc").option("payload", str(payload).lower())
+    return rows.option("partitionBytes", str(int(size[0]) << unit)).load(path)
 
 
 def archived_pages(archive: DataFrame) -> DataFrame:
