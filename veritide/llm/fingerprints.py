@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritide.llm.shared import read, written
+from veritide.llm.shared import drop, integer_ids, read, written
 
 LEAF = r"[^.!?\n]{1,160}+[.!?]*+ *+\n?+|[.!?]++ *+\n?+|\n"
 NODE, SHORT = 12, 10
@@ -63,14 +63,19 @@ def changed_leaves(a: Column, b: Column) -> Column:
     return F.filter(at, lambda i: i.isNotNull())
 
 
-def followers(keys: DataFrame) -> DataFrame:
-    """(_id, _h, _n, next): for each distinct key the next in descending id, cyclic; no task sees more than its range."""
+def followers(keys: DataFrame, spread: int = 16) -> DataFrame:
+    """(_id, _h, _n, next): for each distinct key the next in descending id, cyclic; no task sees more than some ranges.
+
+    There are up to ``spread`` ranges for each shuffle partition, so that they fall evenly on the tasks.
+    """
     down = [F.col("_id").desc_nulls_last(), F.col("_h")]
-    ranged = written(keys.repartitionByRange(*down).withColumn("_pid", F.spark_partition_id()), "ranges")
+    partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(spread * partitions, 1 + keys.count() // 1000)
+    ranged = written(keys.repartitionByRange(ranges, *down).withColumn("_pid", F.spark_partition_id()), "ranges")
     key = F.struct("_id", "_h")
     inside = ranged.withColumn("_lead", F.lead(key).over(Window.partitionBy("_pid").orderBy(*down)))
     # One row for each range: its first key belongs behind the last key of the range before, cyclic.
-    order = F.struct(F.col("_id").isNull().alias("z"), (-F.col("_id")).alias("d"), F.col("_h").alias("h"))
+    order = F.struct(F.col("_id").isNull().alias("z"), F.bitwise_not("_id").alias("d"), F.col("_h").alias("h"))
     heads = ranged.groupBy("_pid").agg(F.min_by(key, order).alias("_head"))
     whole = Window.partitionBy(F.lit(0)).orderBy("_pid")
     after = heads.select(
@@ -84,8 +89,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null texts are empty.  Rows that repeat with id and text are one document in the order, and each gets
     its result; equal ids with different texts follow each other in the order of their hashes; a null id
-    comes last.  A single document is its own next.  An empty table gives no rows.
+    comes last.  A single document is its own next.  Ids must be integers (else TypeError).  An empty table
+    gives no rows; other columns are ignored.
     """
+    integer_ids(docs, id_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     rows = rows.withColumn("_h", F.xxhash64("_text"))
     keys = written(
@@ -93,6 +100,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     repeated = keys.where("count > 1").limit(1).count() > 0
     order = written(followers(keys.drop("count")), "followers")
+    drop(keys)
     before = order.select(
         F.col("next._id").alias("_k"), F.col("next._h").alias("_kh"),
         F.col("_id").alias("_prev"), F.col("_h").alias("_prev_h"), F.floor(F.col("_n") / 3).cast("int").alias("_take"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritide.llm.shared import bounded_sample, read, ship
+from veritide.llm.shared import bounded_sample, lean, read, ship
 
 #: The rules of the registered query, as (rule, verdict).
 RULES = (
@@ -42,26 +42,41 @@ def longest_rule(h: Column, p: Column, rules) -> Column:
     return out
 
 
-def lexical(url: str, suffix: dict[str, float]) -> list[float]:
-    """Length, depth, digit ratio, entropy, parameter counts and suffix statistics of one URL."""
+@dataclass(frozen=True)
+class Parts:
+    scheme: str
+    host: str
+    path: str
+    query: str
+    fragment: bool
+
+    @property
+    def segments(self) -> list[str]:
+        return [s for s in self.path.split("/") if s]
+
+
+def parts(url: str) -> Parts:
+    """The parts of a URL; without "://" all of it is host, path and query."""
     scheme, sep, rest = url.partition("://")
     if not sep:
         scheme, rest = "", url
     cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
-    name, tail = rest[:cut].lower(), rest[cut:]
-    p = tail.split("#")[0].split("?")[0]
-    query = tail.split("#")[0].partition("?")[2]
-    n = max(1, len(url))
-    counts = Counter(url)
-    labels = name.split(".")
-    segments = [s for s in p.split("/") if s]
+    front, mark, _ = rest[cut:].partition("#")
+    p, _, query = front.partition("?")
+    return Parts(scheme, rest[:cut].lower(), p, query, bool(mark))
+
+
+def lexical(url: str, suffix: dict[str, float]) -> list[float]:
+    """Length, depth, digit ratio, entropy, parameter counts and suffix statistics of one URL."""
+    u = parts(url)
+    n, labels, segments = max(1, len(url)), u.host.split("."), u.segments
     return [
-        len(url), len(name), len(p), len(labels), len(segments), sum(c.isdigit() for c in url) / n,
-        -sum(k / n * math.log2(k / n) for k in counts.values()),
-        query.count("&") + bool(query), len(query), float("#" in tail), float(scheme == "https"),
-        name.count("-"), max(map(len, labels)), max(map(len, segments), default=0),
-        float(p.endswith("/")), float("." in (segments[-1] if segments else "")),
-        *(suffix.get(key, suffix.get("", 0.5)) for key in suffixes(name, segments)),
+        len(url), len(u.host), len(u.path), len(labels), len(segments), sum(c.isdigit() for c in url) / n,
+        -sum(k / n * math.log2(k / n) for k in Counter(url).values()),
+        u.query.count("&") + bool(u.query), len(u.query), float(u.fragment), float(u.scheme == "https"),
+        u.host.count("-"), max(map(len, labels)), max(map(len, segments), default=0),
+        float(u.path.endswith("/")), float("." in (segments[-1] if segments else "")),
+        *(suffix.get(key, suffix.get("", 0.5)) for key in suffixes(u.host, segments)),
     ]
 
 
@@ -117,28 +132,41 @@ def _grow(bins, edges, g, h, rows, depth, rate, least):
         return value
     f, i = best[1]
     left = bins[rows, f] <= i
-    parts = (_grow(bins, edges, g, h, r, depth - 1, rate, least) for r in (rows[left], rows[~left]))
-    return (f, float(edges[f][i]), *parts)
+    sides = (_grow(bins, edges, g, h, r, depth - 1, rate, least) for r in (rows[left], rows[~left]))
+    return (f, float(edges[f][i]), *sides)
+
+
+def suffix_statistics(urls: list[str], y: np.ndarray, prior: float, least: int = 5) -> dict[str, float]:
+    """The smoothed mean label of each suffix that ``least`` URLs have; the prior under the empty key."""
+    seen: dict[str, list] = {}
+    for url, v in zip(urls, y, strict=True):
+        u = parts(url)
+        for key in suffixes(u.host, u.segments):
+            a = seen.setdefault(key, [0, 0.0])
+            a[0] += 1
+            a[1] += v
+    return {k: (s + 5 * prior) / (n + 5) for k, (n, s) in seen.items() if n >= least} | {"": prior}
 
 
 def fit(urls: list[str], y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.2, least: int = 5) -> Trees:
-    """Fit on labelled URLs (1: allow).  One class alone gives a constant; no URLs allow everything."""
+    """Fit on labelled URLs (1: allow).  One class alone gives a constant; no URLs allow everything.
+
+    The trees see each URL with the suffix statistics of the other folds, never with its own label.
+    """
     if not len(urls):
         return Trees(base=1.0)
     prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     model = Trees(math.log(prior / (1 - prior)))
     if y.min() == y.max():
         return model
-    seen: dict[str, list] = {}
-    for u, v in zip(urls, y, strict=True):
-        rest = u.partition("://")[2] or u
-        name, _, tail = rest.partition("/")
-        for key in suffixes(name.lower(), [s for s in tail.split("?")[0].split("#")[0].split("/") if s]):
-            a = seen.setdefault(key, [0, 0.0])
-            a[0] += 1
-            a[1] += v
-    model.suffix = {k: (s + 5 * prior) / (n + 5) for k, (n, s) in seen.items() if n >= 5} | {"": prior}
-    x = np.array([lexical(u, model.suffix) for u in urls])
+    model.suffix = suffix_statistics(urls, y, prior)
+    fold = np.arange(len(urls)) % 5
+    x = np.empty((len(urls), len(lexical("", model.suffix))))
+    for k in range(5):
+        other = np.flatnonzero(fold != k)
+        known = suffix_statistics([urls[i] for i in other], y[other], prior)
+        for i in np.flatnonzero(fold == k):
+            x[i] = lexical(urls[i], known)
     edges = []
     for f in range(x.shape[1]):
         cuts = np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1]))
@@ -197,7 +225,7 @@ def judge(pages: DataFrame, rules=RULES, model: Trees | None = None, bound: int
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return base.mapInArrow(lean(run), f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
