@@ -15,7 +15,7 @@ from veritide.llm.near_dup import near_duplicates
 from veritide.llm.packing import digest_columns, pack
 from veritide.llm.quality import score, train
 from veritide.llm.secrets import redact
-from veritide.llm.shared import new_path, read, ship, written
+from veritide.llm.shared import made, new_path, read, ship, sweep, unused, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,16 +29,16 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
     """One row of each id and text; rows with neither id nor words are nothing's copy and all stay."""
     loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rest = [c for c in rows.columns if c not in ("doc_id", "text")]
-    one = rows.where(~loose).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
-    return one.select("doc_id", "text", "_rest.*").select(*rows.columns).unionByName(rows.where(loose))
+    held = unused(rows, "rest")
+    one = rows.where(~loose).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias(held))
+    return one.select("doc_id", "text", f"{held}.*").select(*rows.columns).unionByName(rows.where(loose))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; null ids are kept if their text passes."""
     ship(spark)
     machine = train(docs, read(spark, sf_dir, "labels"))
-    keep = score(docs, machine, keep=docs.columns)
-    return keep.where("predicted = 1").select(*docs.columns)
+    return score(docs, machine, keep=docs.columns, accepted=True)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,28 +47,32 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows are told apart by their ids; where some are null or repeated, by a hash of id and text.
     """
     if _own_ids(docs):
-        copies = near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
-        return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = near_duplicates(rows, percent=80, id_col="_key").select(F.col("_key").alias("_of"), "component_id").distinct()
-    ids = rows.select("_key", "doc_id").distinct().join(groups, F.col("_key") == F.col("_of"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
-    kept = ids.groupBy("component_id").agg(first.alias("f")).select(F.col("f._key").alias("_kept"))
-    return _one_of_each(rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi")).select(*docs.columns)
+        copy = unused(docs, "copy")
+        copies = near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias(copy)).distinct()
+        return docs.join(copies, F.col("doc_id") == F.col(copy), "left_anti")
+    key, keep = unused(docs, "key"), unused(docs, "keep")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(rows, percent=80, id_col=key).select(F.col(key).alias("of"), "component_id").distinct()
+    ids = rows.select(F.col(key).alias("key"), "doc_id").distinct().join(groups, F.col("key") == F.col("of"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = written(ids.groupBy("component_id").agg(first.alias("f")).select(F.col("f.key").alias(keep)), "kept")
+    return _one_of_each(rows.join(kept, F.col(key) == F.col(keep), "left_semi").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item within its error budget, by their texts, whatever their ids."""
-    rows = docs.withColumn("_text_of", F.unhex(F.sha2("text", 256)))
-    found = written(leaks(rows, read(spark, sf_dir, "benchmark"), id_col="_text_of"), "leaks")
-    found = found.select(F.col("_text_of").alias("_leak")).distinct()
-    return rows.join(found, F.col("_text_of") == F.col("_leak"), "left_anti").select(*docs.columns)
+    key, leak = unused(docs, "text_of"), unused(docs, "leak")
+    rows = docs.withColumn(key, F.unhex(F.sha2("text", 256)))
+    found = leaks(rows, read(spark, sf_dir, "benchmark"), id_col=key)
+    found = written(found.select(F.col(key).alias(leak)).distinct(), "leaks")
+    return rows.join(found, F.col(key) == F.col(leak), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by a mark; n_chars of changed texts is counted again."""
-    clean = redact(docs.withColumn("_before", F.xxhash64("text")), new_path(spark, "secret-ledger"))
-    changed = F.xxhash64("text") != F.col("_before")
+    before = unused(docs, "before")
+    clean = redact(docs.withColumn(before, F.xxhash64("text")), new_path(spark, "secret-ledger"))
+    changed = F.xxhash64("text") != F.col(before)
     n = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n).select(*docs.columns)
 
@@ -86,12 +90,15 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No stage but the secrets can be expressed in SQL; tests compare the stages with brute-force versions.
+#: No stage but the secrets can be expressed in SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages wrote besides is deleted once the next one has been written."""
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
+    own = made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, [p for p in made()[:-1] if p not in own])
     return docs
