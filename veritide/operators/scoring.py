@@ -74,6 +74,29 @@ def hint_score(blob: Column) -> Column:
     return F.least(F.lit(5), F.greatest(F.lit(1), 3 + has(POSITIVE) - has(NEGATIVE)))
 
 
+def legacy_score(blob: Column) -> Column:
+    """60, five more for each positive and less for each negative hint word, within 0 to 100; the seeded noise is left out."""
+    has = lambda words: sum((blob.contains(w).cast("int") for w in words), F.lit(0))
+    return F.least(F.lit(100), F.greatest(F.lit(0), 60 + 5 * has(POSITIVE) - 5 * has(NEGATIVE)))
+
+
+def gates(faithfulness: Column, mean: Column, std: Column, primary: Column, total: Column, foreign: Column) -> Column:
+    """struct of the four quality gates of one KPI.
+
+    faithful (at least 0.8, else blocked; null passes as null), stable (deviation at most 0.4, else the score
+    shows as a range), covered (at least 0.4 of the chunks primary, none of no chunks, else suppressed), and
+    bleed (a chunk of a foreign entity, which blocks).
+    """
+    faithful, stable = faithfulness >= 0.8, std <= 0.4
+    share = F.when(total > 0, primary / total).otherwise(0.0)
+    bleed = F.coalesce(foreign, F.lit(False))
+    lo, hi = (even(mean + k * std, 2).cast("string") for k in (-1, 1))
+    return F.struct(
+        (F.coalesce(~faithful, F.lit(False)) | bleed).alias("blocked"), faithful.alias("faithful"), stable.alias("stable"),
+        F.when(~stable, F.concat(lo, F.lit("–"), hi)).alias("score_range"), (share < 0.4).alias("suppress"), bleed.alias("bleed"),
+    )
+
+
 def rubric_fallback(ideal: Column, blob: Column) -> tuple[Column, Column]:
     """(score, confidence) without a model: overlap of the lower-cased evidence with the ideal, else hint words."""
     text, want = F.coalesce(blob, F.lit("")), long_words(F.coalesce(ideal, F.lit("")), 3)

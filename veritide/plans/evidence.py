@@ -211,6 +211,19 @@ query(
     f"WITH {ev_sql()}, {TERMS} SELECT grp, round_even(corroboration * 0.15::DOUBLE + freshness + authority + contradiction, 3) AS adjustment FROM terms",
 )(lambda t: terms(evidence(t)).select("grp", even(F.col("corroboration") * 0.15 + F.col("freshness") + F.col("authority") + F.col("contradiction"), 3).alias("adjustment")))
 
+
+
+@query(
+    "source_eval_rollup",
+    f"WITH {ev_sql()}, {TERMS} SELECT round(avg(corroboration), 5) AS corroboration, round(avg(freshness), 5) AS freshness, round(avg(authority), 5) AS authority, CAST(coalesce((SELECT sum(n) FROM cp), 0) AS BIGINT) AS contradictions FROM terms",
+)
+def _(t):
+    e = evidence(t)
+    mean = lambda c: F.round(F.avg(c), 5).alias(c)
+    one = terms(e).agg(mean("corroboration"), mean("freshness"), mean("authority"))
+    return one.crossJoin(Q.contradictions(e).agg(F.count("*").alias("contradictions")))  # one row each
+
+
 SCORE_SQL = f"""blob AS (SELECT grp, lower(string_agg(text, ' ' ORDER BY rank)) AS blob, count(DISTINCT source_id) AS u FROM ev GROUP BY grp),
     ideal AS (SELECT item_id AS grp, {t56('text', 3)} AS ideal FROM benchmark),
     ovl AS (SELECT blob.grp, u, len(list_intersect(ideal, {t56('blob', 3)}))::DOUBLE / greatest(1, len(ideal)) AS ov FROM blob JOIN ideal USING (grp)),

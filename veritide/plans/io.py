@@ -118,15 +118,18 @@ def _(t):
 @query("sink_attribution_state", "SELECT company, kpi_id, arg_max(run_no, run_no) AS run_no, arg_max(score, run_no) AS score FROM kr WHERE run_no IN (1, 2) GROUP BY 1, 2")
 def _(t):
     k = t("kr").select("company", "kpi_id", "run_no", "score")
-    return sinks.upsert(k.where("run_no = 1"), k.where("run_no = 2"), ["company", "kpi_id"])
+    spark, path = k.sparkSession, place(k.sparkSession, "state")
+    k.where("run_no = 1").write.parquet(f"{path}/0")
+    sinks.upsert(spark.read.schema(k.schema).parquet(f"{path}/0"), k.where("run_no = 2"), ["company", "kpi_id"]).write.parquet(f"{path}/1")
+    return spark.read.schema(k.schema).parquet(f"{path}/1")
 
 
-@query("sink_vector_index", "SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+@query("sink_vector_index", "SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings")
 def _(t):
     e = t("embeddings")
     path = place(e.sparkSession, "index")
     e.write.partitionBy("label").parquet(path)
-    return e.sparkSession.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.round(F.get("embedding", 0).cast("double"), 6).alias("first"))
+    return e.sparkSession.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
 
 
 query("sink_run_log", "SELECT concat(company, '-', run_no) AS run, x.k AS key, x.t AS kind, x.v AS value FROM (SELECT company, run_no, unnest([{'k': 'kpi_id', 't': 'param', 'v': kpi_id}, {'k': 'n', 't': 'metric', 'v': CAST(n AS VARCHAR)}]) AS x FROM kr)")(

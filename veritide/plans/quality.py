@@ -74,6 +74,13 @@ query(
     "authority_classify",
     f"WITH {AUTH} SELECT doc_id, trim(k) AS kind, CASE k WHEN 'first_party' THEN 0.5 WHEN 'third_party_analyst' THEN 0.9 WHEN 'third_party_news' THEN 0.8 WHEN 'regulatory' THEN 0.95 WHEN 'third_party_analyst ' THEN 0.7 WHEN 'third_party_news ' THEN 0.65 WHEN 'regulatory ' THEN 0.75 ELSE 0.4 END::DOUBLE AS score, k <> 'first_party' AS third FROM a",
 )(authorities)
+query(
+    "authority_distribution",
+    f"WITH {AUTH} SELECT trim(k) AS kind, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM a), 3) AS pct FROM a GROUP BY 1",
+)(
+    lambda t: authorities(t).groupBy("kind").agg(F.count("*").alias("n")).crossJoin(F.broadcast(t("documents").agg(F.count("*").alias("all"))))
+    .select("kind", "n", even(F.col("n") * 100.0 / F.col("all"), 3).alias("pct"))
+)
 query(
     "authority_boost",
     f"WITH {AUTH}, g AS (SELECT doc_id // 7 AS grp, bool_or(k = 'first_party') AS f, bool_or(k LIKE 'third%' OR k LIKE 'reg%') AS th FROM a GROUP BY 1) SELECT grp, CASE WHEN f AND th THEN 0.15 WHEN th THEN 0.105 WHEN f THEN 0.03 ELSE 0 END::DOUBLE AS boost FROM g",

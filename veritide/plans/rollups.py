@@ -166,16 +166,13 @@ def _(t):
     return s.withColumn("verdict", F.when(F.col("flagged") == 0, "clean").when(F.col("flagged") / F.col("n") <= 0.2, "minor").otherwise("major"))
 
 
-query("feature_coverage", "SELECT count(live_score) AS live_score, count(score) AS score, count(*) AS n FROM kr")(lambda t: t("kr").agg(F.count("live_score").alias("live_score"), F.count("score").alias("score"), F.count("*").alias("n")))
-query("source_eval_rollup", "SELECT pillar, round(avg(value), 5) AS mean, count(DISTINCT source_id) AS sources, CAST(sum(CASE WHEN tier = 3 THEN 1 ELSE 0 END) AS BIGINT) AS weak FROM cites GROUP BY pillar")(
-    lambda t: t("cites").groupBy("pillar").agg(F.round(F.avg("value"), 5).alias("mean"), F.countDistinct("source_id").alias("sources"), F.sum(F.when(F.col("tier") == 3, 1).otherwise(0)).alias("weak"))
+OPTIONAL = ("live_score", "score", "confidence", "pillar", "n", "first_event")
+query("feature_coverage", f"SELECT {', '.join(f'count({c}) AS {c}' for c in OPTIONAL)}, count(*) AS kpis FROM kr")(
+    lambda t: t("kr").agg(*(F.count(c).alias(c) for c in OPTIONAL), F.count("*").alias("kpis"))
 )
 query("cited_sources", "SELECT source_id, count(DISTINCT kpi_id) AS n, list_sort(list(DISTINCT kpi_id)) AS kpis FROM cites GROUP BY source_id")(
     lambda t: t("cites").groupBy("source_id").agg(F.countDistinct("kpi_id").alias("n"), F.sort_array(F.collect_set("kpi_id")).alias("kpis"))
 )
-query("authority_distribution", "SELECT tier, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM cites), 3) AS pct FROM cites GROUP BY tier")(
-    lambda t: t("cites").groupBy("tier").agg(F.count("*").alias("n")).crossJoin(F.broadcast(t("cites").agg(F.count("*").alias("all")))).select("tier", "n", even(F.col("n") * 100.0 / F.col("all"), 3).alias("pct"))
-)
 query(
     "cot_dimension_avg",
     "SELECT pillar, round(avg(tier), 5) AS mean, bool_or(tier < 2) AS weak FROM cites GROUP BY pillar",

@@ -83,26 +83,28 @@ query("score_split", "SELECT company, kpi_id, round_even(avg(score) FILTER (WHER
     lambda t: t("kr").groupBy("company", "kpi_id").agg(F.avg(F.when(F.col("run_no") < 2, F.col("score"))).alias("b"), F.avg(F.when(F.col("run_no") >= 2, F.col("score"))).alias("l"))
     .select("company", "kpi_id", even("b", 4).alias("baseline"), even("l", 4).alias("live"), even(F.col("l") - F.col("b"), 4).alias("delta"))
 )
-GATE = "g AS (SELECT company, kpi_id, avg(score) AS m, coalesce(stddev_samp(score), 0) AS sd, avg(confidence) AS f FROM kr GROUP BY 1, 2), p AS (SELECT company, kpi_id, avg(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS p, bool_or(tier = 3 AND value > 480) AS foreign_id FROM cites GROUP BY 1, 2)"
+GATE = r"""g AS (SELECT company, kpi_id, avg(score) AS m, stddev_samp(score) AS sd, CASE WHEN count(*) > 2 THEN avg(confidence) END AS f FROM kr GROUP BY 1, 2),
+    p AS (SELECT company, kpi_id, count(*) FILTER (WHERE tier = 1) AS p, count(*) AS n, bool_or(tier = 3 AND regexp_extract(url, '[.](d\d+)[.]', 1) <> concat('d', company % 7)) AS bleed FROM cites GROUP BY 1, 2)"""
 
 
 @query(
     "quality_gates",
-    f"""WITH {GATE} SELECT g.company, g.kpi_id, f >= 0.8 AS faithful, CASE WHEN sd > 0.4 THEN concat(round_even(m - sd, 1), '–', round_even(m + sd, 1)) END AS range, coalesce(p, 0) < 0.4 AS suppress, foreign_id AS blocked FROM g JOIN p ON g.company = p.company AND g.kpi_id = p.kpi_id""",
+    f"""WITH {GATE} SELECT g.company, g.kpi_id, coalesce(f < 0.8, false) OR bleed AS blocked, f >= 0.8 AS faithful, sd <= 0.4 AS stable, CASE WHEN sd > 0.4 THEN concat(round_even(m - sd, 2), '–', round_even(m + sd, 2)) END AS score_range,
+        p::DOUBLE / n < 0.4 AS suppress, bleed FROM g JOIN p ON g.company = p.company AND g.kpi_id = p.kpi_id""",
 )
 def _(t):
+    """Confidence stands for faithfulness, unknown for KPIs of few runs; a tier 3 source of another company's host is foreign."""
     k = ["company", "kpi_id"]
-    g = t("kr").groupBy(*k).agg(F.avg("score").alias("m"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd"), F.avg("confidence").alias("f"))
-    p = t("cites").groupBy(*k).agg(F.avg(F.when(F.col("tier") == 1, 1).otherwise(0)).alias("p"), F.bool_or((F.col("tier") == 3) & (F.col("value") > 480)).alias("blocked"))
-    lo, hi = (even(F.col("m") + s * F.col("sd"), 1).cast("string") for s in (-1, 1))
-    rng = F.when(F.col("sd") > 0.4, F.concat(lo, F.lit("–"), hi))
-    return g.join(p, k).select(*k, (F.col("f") >= 0.8).alias("faithful"), rng.alias("range"), (F.coalesce("p", F.lit(0.0)) < 0.4).alias("suppress"), "blocked")
+    g = t("kr").groupBy(*k).agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"), F.when(F.count("*") > 2, F.avg("confidence")).alias("f"))
+    other = F.regexp_extract("url", r"[.](d\d+)[.]", 1) != F.concat(F.lit("d"), (F.col("company") % 7).cast("string"))
+    p = t("cites").groupBy(*k).agg(F.count_if(F.col("tier") == 1).alias("p"), F.count("*").alias("n"), F.bool_or((F.col("tier") == 3) & other).alias("foreign"))
+    return g.join(p, k).select(*k, S.gates(F.col("f"), F.col("m"), F.col("sd"), F.col("p"), F.col("n"), F.col("foreign")).alias("g")).select(*k, "g.*")
 
 
-@query("legacy_score", "SELECT doc_id, least(100, greatest(0, 60 + 5 * (CASE WHEN contains(text, 'tion') THEN 1 ELSE 0 END) - 5 * (CASE WHEN contains(text, '!!') THEN 1 ELSE 0 END))) AS score FROM documents")
-def _(t):
-    one = lambda w: F.col("text").contains(w).cast("int")
-    return t("documents").select("doc_id", F.least(F.lit(100), F.greatest(F.lit(0), 60 + 5 * one("tion") - 5 * one("!!"))).alias("score"))
+_HAS = lambda words: " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in words)
+query("legacy_score", f"SELECT doc_id, least(100, greatest(0, 60 + 5 * ({_HAS(S.POSITIVE)}) - 5 * ({_HAS(S.NEGATIVE)}))) AS score FROM documents")(
+    lambda t: t("documents").select("doc_id", S.legacy_score(F.lower("text")).alias("score"))
+)
 
 
 ISSUES = (("Low Confidence", "confidence < 0.5"), ("Poor Source Quality", "avg_tier > 2.5"), ("Low Corroboration", "corr < 0.3 AND sources > 1"), ("Single Source", "sources <= 1"), ("Missing Citations", "NOT cited"))
