@@ -73,7 +73,7 @@ def word_model(path: str):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids (``ids``) or counts them (``counts``)."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 500_000):
         self.path, self.memo = path, memo
         self.by_chunk = chunkable(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
