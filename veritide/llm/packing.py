@@ -122,7 +122,7 @@ def pack(
             yield batch(rows)
 
     two = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return two.mapInArrow(lean(run), f"`{id_col}` {kind}, {SCHEMA}")
+    return two.mapInArrow(lean(run, encodes=True), f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def digest_columns(packed: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import gc
 import os
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -112,14 +113,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def lean(run):
-    """``run`` for mapInArrow: its worker, which later tasks reuse, gives freed memory back when a task ends."""
+def lean(run, encodes: bool = False):
+    """``run`` for mapInArrow: its worker, which later tasks reuse, gives freed memory back when a task ends.
+
+    The tokenizers' memos live from task to task only while tasks encode; any other task drops them.
+    """
 
     @functools.wraps(run)
     def held(batches):
         try:
             yield from run(batches)
         finally:
+            tokens = sys.modules.get("veritide.llm.tokens")
+            if tokens and not encodes:
+                tokens.forget()
             give_back()
 
     return held

@@ -69,7 +69,7 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     rows = written(keyed.select("_id", "_digest", F.octet_length("_text").cast("long").alias("n_bytes")), "keys")
-    new = representatives(keyed, rows, stored).select("_digest", "_text").mapInArrow(lean(encode), CACHE_SCHEMA)
+    new = representatives(keyed, rows, stored).select("_digest", "_text").mapInArrow(lean(encode, encodes=True), CACHE_SCHEMA)
     new.write.mode("append").parquet(f"{cache}/tokenizer={version}")
     # Both sides of the join are plain tables, so that Spark can split the rows of a digest that many share.
     counts = written(read_cache(spark, cache, version), "counts")

@@ -164,3 +164,8 @@ def encoder(path: str, use: str) -> Encoder:
     if (path, use) not in _ENCODERS:
         _ENCODERS[path, use] = Encoder(path)
     return _ENCODERS[path, use]
+
+
+def forget() -> None:
+    """Drop the worker's encoders and their memos."""
+    _ENCODERS.clear()
