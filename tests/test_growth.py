@@ -37,3 +37,13 @@ def test_token_links_meet_by_size_and_place(spark):
         parts = list(Q._meeting(0.75, most)([rows.slice(0, 7), rows.slice(7)]))
         assert {x for p in parts for x in zip(*(c.to_pylist() for c in p.columns), strict=True)} == want
         assert max(p.num_rows for p in parts) <= max(most, 500)
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    import struct
+
+    from veritide.plans import catalog
+
+    spark.createDataFrame([(1, [-8.9e-8, 0.0, -0.0, 0.0078125, -0.5], 3)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    (row,) = catalog.QUERIES["sink_vector_index"](spark, str(tmp_path)).collect()
+    assert struct.pack("5d", *row.v) == struct.pack("5d", -0.0, 0.0, -0.0, 0.007813, -0.5)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from veritide.functions.numbers import signed_round
 from veritide.operators import scopes, sinks
 from veritide.plans.base import ORACLES, QUERIES, query, shared_folder
 from veritide.plans.rollups import PILLAR, pillars
@@ -129,7 +130,7 @@ def _(t):
     e = t("embeddings")
     path = place(e.sparkSession, "index")
     e.write.partitionBy("label").parquet(path)
-    return e.sparkSession.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
+    return e.sparkSession.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: signed_round(x.cast("double"), 6)).alias("v"))
 
 
 query("sink_run_log", "SELECT concat(company, '-', run_no) AS run, x.k AS key, x.t AS kind, x.v AS value FROM (SELECT company, run_no, unnest([{'k': 'kpi_id', 't': 'param', 'v': kpi_id}, {'k': 'n', 't': 'metric', 'v': CAST(n AS VARCHAR)}]) AS x FROM kr)")(
