@@ -61,3 +61,10 @@ def test_bm25_topk_equals_all_scores(spark):
         for cells in (50, 2_000_000):
             got = R.bm25_topk(docs, asked, "d", "t", "i", "t", 5, where, cells).collect()
             assert sorted((r.q, r.id, r.score, r["rank"]) for r in got) == sorted((r.q, r.id, r.score, r["rank"]) for r in want)
+
+
+def test_tier_counts_each_signal_once(spark, sf):
+    from veritide.plans import catalog
+
+    plan = catalog.QUERIES["tier_classify"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("accuracy|precision") == 1

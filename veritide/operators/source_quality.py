@@ -132,23 +132,31 @@ def lowered(pattern: str) -> str:
 def tier_classify(url: Column, text: Column, title: Column | None = None, signals=None, boilerplate=BOILERPLATE) -> Column:
     """struct<tier, content_score, signals, words, boilerplate_hits> of one source; patterns are parameters."""
     signals = [p for ps in SIGNALS.values() for p in ps] if signals is None else signals
-    both = F.lower(text) if title is None else F.lower(F.concat_ws(" ", title, text))
-    hits, boiler = F.lit(0), F.lit(0)
-    for p in signals:
-        hits = hits + F.least(F.lit(3), F.regexp_count(both, F.lit(lowered(p))))
-    for p in boilerplate:
-        boiler = boiler + F.when(both.rlike(lowered(p)), 1).otherwise(0)
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    per = words / F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
-    shape = F.when(per > 3, F.least(F.lit(1.0), per / 15)).otherwise(0.2)
+    one = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  # f of a value that is computed once
+
+    def counted(both: Column) -> Column:
+        hits, boiler = F.lit(0), F.lit(0)
+        for p in signals:
+            hits = hits + F.least(F.lit(3), F.regexp_count(both, F.lit(lowered(p))))
+        for p in boilerplate:
+            boiler = boiler + F.when(both.rlike(lowered(p)), 1).otherwise(0)
+        words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+        return F.struct(hits.alias("hits"), boiler.alias("boiler"), words.alias("words"), F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1)).alias("ends"))
+
     any_of = lambda hints: F.lower(url).rlike("|".join(hints))
-    bonus = F.when(any_of(URL_TIER1), 0.12).when(any_of(URL_TIER2), 0.06).otherwise(0.0)
-    score = F.least(F.lit(0.5), hits * 0.06) + F.least(F.lit(1.0), words / 800) * 0.25 + shape * 0.15 + bonus
-    score = even(F.least(F.lit(1.0), score), 3)
-    thin = (boiler >= 2) & (F.char_length(text) < 500)
-    score = F.when(thin, 0.05).otherwise(score)
-    tier = F.when(thin, 3).when(score >= 0.55, 1).when(score >= 0.25, 2).otherwise(3)
-    return F.struct(tier.alias("tier"), score.alias("content_score"), hits.alias("signals"), words.alias("words"), boiler.alias("boilerplate_hits"))
+
+    def judged(c: Column) -> Column:
+        per = c["words"] / c["ends"]
+        shape = F.when(per > 3, F.least(F.lit(1.0), per / 15)).otherwise(0.2)
+        bonus = F.when(any_of(URL_TIER1), 0.12).when(any_of(URL_TIER2), 0.06).otherwise(0.0)
+        score = F.least(F.lit(0.5), c["hits"] * 0.06) + F.least(F.lit(1.0), c["words"] / 800) * 0.25 + shape * 0.15 + bonus
+        score = even(F.least(F.lit(1.0), score), 3)
+        thin = (c["boiler"] >= 2) & (F.char_length(text) < 500)
+        score = F.when(thin, 0.05).otherwise(score)
+        tier = F.when(thin, 3).when(score >= 0.55, 1).when(score >= 0.25, 2).otherwise(3)
+        return F.struct(tier.alias("tier"), score.alias("content_score"), c["hits"].alias("signals"), c["words"].alias("words"), c["boiler"].alias("boilerplate_hits"))
+
+    return one(one(F.lower(text) if title is None else F.lower(F.concat_ws(" ", title, text)), counted), judged)
 
 
 def extract_claims(sources: DataFrame, id_col: str, text_col: str, keywords=CLAIM_WORDS, banned=NO_CLAIM, most: int = 30) -> DataFrame:
