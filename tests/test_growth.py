@@ -68,3 +68,21 @@ def test_tier_counts_each_signal_once(spark, sf):
 
     plan = catalog.QUERIES["tier_classify"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("accuracy|precision") == 1
+
+
+def test_vector_topk_and_golden_groups_equal_all_pairs(spark):
+    from veritide.operators import retrieval as R
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=4), 1)], int(rng.integers(3)), float(rng.integers(0, 4))) for i in range(150)]
+    e = spark.createDataFrame(rows, "id long, v array<float>, grp int, relevance double")
+    q = e.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), "grp")
+    want = R.ranked(R.vector_scores(e.select("id", "v"), q.select("q", "qv")).where("q <> id"), 6)
+    key = lambda df: sorted(tuple(r[c] for c in ("q", "id", "score", "rank")) for r in df.collect())
+    for most, cells in ((10_000, 4_000_000), (4, 100)):
+        got = R.vector_topk(e.select("id", "v"), q.select("q", "qv"), 6, True, most, cells)
+        assert key(got) == key(want)
+    assert R.vector_topk(e.select("id", "v"), q.select("q", "qv").limit(0), 6).count() == 0
+    gold = q.select("q", "grp").join(e.select("id", "grp", "relevance"), "grp").where("q <> id")
+    metrics = lambda df: sorted((r.q, r.hit_rate, r.mrr, r.ndcg) for r in df.collect())
+    assert metrics(R.ir_metrics_by_group(want, q.select("q", "grp"), e.select("id", "grp", "relevance"))) == metrics(R.ir_metrics(want, gold))
