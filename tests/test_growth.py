@@ -115,3 +115,25 @@ def test_vector_topk_keeps_no_more_than_it_ranks(spark, monkeypatch):
     # the tasks, one to a core at most, hand on so many rows, whatever the files and copies
     monkeypatch.setattr(R, "ranked", lambda scores, k: scores)
     assert R.vector_topk(copies, asked, 5, True, tasks=1).count() <= spark.sparkContext.defaultParallelism * 30 * 5
+
+
+def test_mmr_among_ties_below_zero(spark, tmp_path):
+    from veritide.plans import catalog
+
+    rng = np.random.default_rng(11)
+    v = np.round(rng.normal(size=(500, 3)) * 2, 1)
+    v[:, 0] = np.abs(v[:, 0]) + 2
+    v[::100, 0] *= -2  # these ask; with nearly all others their products are below -1, where each score is 0
+    e = spark.createDataFrame([(int(i), [float(x) for x in v[i]], 0) for i in rng.permutation(500)], "vec_id long, embedding array<float>, label int")
+    e.repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = v.astype(np.float32).astype(float)
+    want = set()
+    for q in range(0, 500, 100):
+        score = np.round(np.maximum(0, (1 + v @ v[q]) / 2), 6)
+        top = [i for i in np.lexsort((np.arange(500), -score)) if i != q][:10]
+        chosen = []
+        while len(chosen) < 5:
+            gain = [-np.inf if i in chosen else round(0.5 * score[i] - 0.5 * max((v[i] @ v[j] for j in chosen), default=0), 9) for i in top]
+            chosen.append(top[int(np.argmax(gain))])
+            want.add((q, int(chosen[-1]), len(chosen)))
+    assert {(r.q, r.id, r.pick) for r in catalog.QUERIES["mmr"](spark, str(tmp_path)).collect()} == want
