@@ -145,3 +145,28 @@ def test_metrics_search_once(spark, sf):
     for name in ("mrr", "ndcg", "hit_rate"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1
+
+
+def test_metrics_among_ties_below_zero(spark, tmp_path):
+    from veritide.plans import catalog
+
+    rng = np.random.default_rng(12)
+    v = np.round(rng.normal(size=(500, 3)) * 2, 1)
+    v[:, 0] = np.abs(v[:, 0]) + 2
+    v[::100, 0] *= -2
+    label = rng.integers(0, 3, 500)
+    label[100] = 7  # a query without golden rows
+    e = spark.createDataFrame([(int(i), [float(x) for x in v[i]], int(label[i])) for i in rng.permutation(500)], "vec_id long, embedding array<float>, label int")
+    e.repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = v.astype(np.float32).astype(float)
+    got = {n: {r.q: r[n] for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("ndcg", "hit_rate")}
+    for q in range(0, 500, 100):
+        score = np.round(np.maximum(0, (1 + v @ v[q]) / 2), 6)
+        top = [i for i in np.lexsort((np.arange(500), -score)) if i != q][:10]
+        gain = {i: 1.0 + i % 3 for i in range(500) if i != q and label[i] == label[q]}
+        if not gain:
+            assert got["ndcg"][q] is None and got["hit_rate"][q] is None
+            continue
+        ideal = sum(x / np.log2(n + 2) for n, x in enumerate(sorted(gain.values(), reverse=True)))
+        assert abs(got["ndcg"][q] - sum(gain.get(i, 0) / np.log2(n + 2) for n, i in enumerate(top)) / ideal) < 6e-5
+        assert abs(got["hit_rate"][q] - sum(i in gain for i in top) / len(gain)) < 6e-5
