@@ -170,3 +170,32 @@ def test_metrics_among_ties_below_zero(spark, tmp_path):
         ideal = sum(x / np.log2(n + 2) for n, x in enumerate(sorted(gain.values(), reverse=True)))
         assert abs(got["ndcg"][q] - sum(gain.get(i, 0) / np.log2(n + 2) for n, i in enumerate(top)) / ideal) < 6e-5
         assert abs(got["hit_rate"][q] - sum(i in gain for i in top) / len(gain)) < 6e-5
+
+
+def _most_rows(df) -> int:
+    """The most rows that any step of the executed plan puts out."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        rows = p.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(p.plan())
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_metrics_list_no_pairs(spark, tmp_path):
+    from veritide.plans import catalog
+
+    rng = np.random.default_rng(13)
+    v = np.round(rng.normal(size=(3000, 4)), 1)
+    v[rng.random(3000) < 0.3] = 0.5  # copies
+    e = spark.createDataFrame([(i, [float(x) for x in v[i]], int(i % 10 == 9)) for i in range(3000)], "vec_id long, embedding array<float>, label int")
+    e.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("ndcg",):  # 30 queries, of one large label all
+        assert 30 <= _most_rows(catalog.QUERIES[name](spark, str(tmp_path))) <= 3000
