@@ -197,5 +197,5 @@ def test_metrics_list_no_pairs(spark, tmp_path):
     v[rng.random(3000) < 0.3] = 0.5  # copies
     e = spark.createDataFrame([(i, [float(x) for x in v[i]], int(i % 10 == 9)) for i in range(3000)], "vec_id long, embedding array<float>, label int")
     e.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    for name in ("ndcg",):  # 30 queries, of one large label all
+    for name in ("ndcg", "hit_rate"):  # 30 queries, of one large label all
         assert 30 <= _most_rows(catalog.QUERIES[name](spark, str(tmp_path))) <= 3000
